@@ -14,9 +14,9 @@ from codeprint.llm.graph import components
 from codeprint.llm.hashing import MULTIPLIERS, mix, ngrams, signed, word_hashes
 
 #: Counters of the frequency sketch, and how many of them one row of its partial sums holds.
-COUNTERS, CHUNK = 1 << 18, 1 << 12
+COUNTERS, CHUNK = 1 << 20, 1 << 13
 #: 64-bit words of a set's parity bitmap.
-PARITY = 16
+PARITY = 8
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -59,7 +59,7 @@ def frequency_sketch(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
 
 
 def _described(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, n, s1, s2 (hash of the set), prefix, parity of each row."""
+    """_id, n, s1, s2 (hash of the set), ph (hash of prefix and size), prefix, parity of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, text_col).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,34 +121,36 @@ def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80,
     prefix shingle are tried first against one leader each, expanded to their members and verified.
     Pairs that these links leave in different components are then all tried, so no link between
     different components is lost, and the pairs inside a component are never listed."""
-    every = _described(docs, words, percent, id_col, text_col)
+    every = _described(docs, words, percent, id_col, text_col).withColumn("ph", F.xxhash64("n", "prefix"))
     sets = every.where("n > 0 AND _id IS NOT NULL")
-    nodes = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("_id", "s1")).alias("node"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    nodes = materialize(nodes.withColumn("ph", F.xxhash64("prefix")), "nodes")
-    same = sets.join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select(F.col("_id").alias("a"), F.col("node._id").alias("b")).where("a <> b")
+    nodes = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("_id", "s1")).alias("node"), F.first("ph").alias("ph"), F.first("parity").alias("parity"))
+    nodes = materialize(nodes, "nodes")
+    same = sets.select("_id", "s1", "s2", "n").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select(F.col("_id").alias("a"), F.col("node._id").alias("b")).where("a <> b")
 
-    groups = nodes.groupBy("n", "ph").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("m"), F.first("prefix").alias("prefix"))
-    listed = groups.select("group", "n", "ph", "m", F.explode("prefix").alias("shingle"))
-    bucket = F.floor(F.log(F.col("n")) / float(-np.log(percent / 100)) / 2) if percent < 100 else F.col("n")
-    common = listed.groupBy("shingle").agg(F.sum("m").alias("k")).where("k > 1").select("shingle")
-    tokens = materialize(listed.join(common, "shingle", "left_semi").withColumn("size", bucket.cast("long")), "shingles")
+    groups = sets.groupBy("ph").agg(F.first("prefix").alias("prefix"), (F.min("s1") < F.max("s1")).alias("several"))
+    listed = groups.select("ph", "several", F.explode("prefix").alias("shingle")).repartition("shingle")
+    common = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.max("several").alias("several")).where("k > 1 OR several").select("shingle")
+    tokens = materialize(listed.select("ph", "shingle").join(common, "shingle", "left_semi"), "shingles")
 
     member = nodes.select("node", "n", "ph", "parity")
-    side = lambda p, *more: [F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("parity").alias(f"{p}_parity"), *more]
-    leaders = tokens.groupBy("shingle", "size").agg(F.min("group").alias("leader"))
-    tried = tokens.join(leaders, ["shingle", "size"]).select("n", "ph", "leader").distinct()
-    tried = tried.join(member.select("n", "ph", *side("a")), ["n", "ph"]).join(nodes.select(*side("b")), F.col("leader") == F.col("b"))
+    leading = nodes.groupBy("ph").agg(F.min("node").alias("group"), F.first("n").alias("n"))
+    step = float(-2 * np.log(percent / 100)) if percent < 100 else 1e-3
+    sized = tokens.join(leading, "ph").select("shingle", "ph", "group", F.floor(F.log("n") / step).alias("size"))
+    leaders = sized.groupBy("shingle", "size").agg(F.min("group").alias("leader"))
+    tried = sized.join(leaders, ["shingle", "size"]).select("ph", "leader").distinct()
+    side = lambda p: [F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("parity").alias(f"{p}_parity")]
+    tried = tried.join(member.select("ph", *side("a")), "ph").join(nodes.select(*side("b")), F.col("leader") == F.col("b"))
     links = _linked(tried.where("a <> b").where(_may_link(percent)).select("a", "b").distinct(), docs, words, percent, id_col, text_col)
     edges = links.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).unionByName(same)
     part = materialize(components(edges), "components")
 
     own = part.select(F.col("node").alias("_node"), F.col("component").alias("c"))
-    known = member.join(own, F.col("node._id") == F.col("_node"), "left").select("node", "n", "ph", "parity", F.coalesce("c", "node._id").alias("c"))
-    spread = tokens.select("shingle", "n", "ph").join(known, ["n", "ph"])
+    known = materialize(member.join(own, F.col("node._id") == F.col("_node"), "left").select("node", "n", "ph", "parity", F.coalesce("c", "node._id").alias("c")), "known")
+    spread = tokens.join(known.select("ph", "node", "c"), "ph")
     open_ = spread.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
-    left = materialize(spread.join(open_, "shingle", "left_semi"), "open")
-    a, b = left.select("shingle", *side("a", F.col("c").alias("a_c"))), left.select("shingle", *side("b", F.col("c").alias("b_c")))
-    rest = a.join(b, (a["shingle"] == b["shingle"]) & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _may_link(percent)).select("a", "b").distinct()
+    left = materialize(tokens.join(open_, "shingle", "left_semi").join(known, "ph").select("shingle", "node", "n", "parity", "c"), "open")
+    a, b = (left.select(F.col("shingle").alias(f"{p}_shingle"), *side(p), F.col("c").alias(f"{p}_c")) for p in "ab")
+    rest = a.join(b, (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _may_link(percent)).select("a", "b").distinct()
     more = _linked(rest, docs, words, percent, id_col, text_col)
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a._id", "b._id").toDF("a", "b")))
     out = every.select("_id", "n").join(whole.select(F.col("node").alias("_id"), "component"), "_id", "left")
