@@ -15,8 +15,8 @@ from codeprint.llm.hashing import MULTIPLIERS, mix, ngrams, signed, word_hashes
 
 #: Counters of the frequency sketch, and how many of them one row of its partial sums holds.
 COUNTERS, CHUNK = 1 << 20, 1 << 13
-#: 64-bit words of a set's parity bitmap.
-PARITY = 8
+#: 64-bit words of a set's parity bitmap, and of the smallest wide one, which grows with the set.
+PARITY, WIDE = 8, 4
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -58,13 +58,26 @@ def frequency_sketch(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return out
 
 
+def parity_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of 64 * words bits (a power of two): bit i tells whether an odd number of hashes fall on it.
+
+    It folds: the halves of a bitmap, one xor the other, are the bitmap of half as many words."""
+    bits = np.bincount((hashes >> np.uint64(30)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def wide_words(n: int) -> int:
+    """Words of the wide bitmap of a set of n: at least one bit a member, so that it is not full."""
+    return max(WIDE, 1 << max(-(-n // 64) - 1, 0).bit_length())
+
+
 def _described(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, n, s1, s2 (hash of the set), ph (hash of prefix and size), prefix, parity of each row."""
+    """_id, n, s1, s2 (hash of the set), prefix, parity, wide (the parity bitmap that grows with n) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, text_col).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2, prefix, parity = [], [], [], [], []
+            n, s1, s2, prefix, parity, wide = [], [], [], [], [], []
             for x in shingle_sets(batch.column(1), words):
                 n.append(len(x))
                 m = mix(x + np.uint64(1))
@@ -73,12 +86,12 @@ def _described(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
                 size = len(x) - -(-len(x) * percent // 100) + 1 if len(x) else 0
                 order = np.lexsort((x, shared.value[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:size]
                 prefix.append(x[order].view(np.int64))
-                bits = np.bincount((m >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-                parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(np.array(s1, np.uint64)), signed(np.array(s2, np.uint64)), pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["_id", "n", "s1", "s2", "prefix", "parity"])
+                parity.append(parity_words(m, PARITY))
+                wide.append(parity_words(m, wide_words(len(x))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(np.array(s1, np.uint64)), signed(np.array(s2, np.uint64)), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int64())) for c in (parity, wide))], ["_id", "n", "s1", "s2", "prefix", "parity", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, n long, s1 long, s2 long, prefix array<long>, parity array<long>"), "sets")
+    return materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, n long, s1 long, s2 long, prefix array<long>, parity array<long>, wide array<long>"), "sets")
 
 
 def _may_link(percent: int) -> Column:
@@ -88,9 +101,24 @@ def _may_link(percent: int) -> Column:
     return sizes & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _close(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes left by the wide bitmaps, whose distance is a lower bound of the symmetric difference.
+
+    The bitmaps of sets that link differ in length by a factor of two at most (percent >= 50); the longer is folded."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wide = every.where("n > 0").select(F.struct("_id", "s1").alias("node"), "n", "wide").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("w"))
+    a, b = (wide.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("w").alias(f"{p}_w")) for p in "ab")
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(folded("a_w", "b_w"), folded("b_w", "a_w"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, k: s + k)
+    comparable = F.greatest(F.size("a_w"), F.size("b_w")) <= 2 * F.least(F.size("a_w"), F.size("b_w"))
+    near = ~comparable | (apart * F.lit(100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+
+
+def _linked(pairs: DataFrame, every: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets link; the whole sets are compared."""
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_close(materialize(pairs, "tried"), every, percent), "pairs")
     nodes = pairs.select(F.col("a._id").alias("_id")).unionByName(pairs.select(F.col("b._id").alias("_id"))).distinct()
     asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(maybe_broadcast(nodes, nodes.count()), "_id", "left_semi")
     kind = asked.schema["_id"].dataType.simpleString()
@@ -102,7 +130,6 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), signed(s1), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["_id", "s1", "x"])
 
     sets = asked.mapInArrow(run, f"_id {kind}, s1 long, x array<long>").select(F.struct("_id", "s1").alias("node"), "x").dropDuplicates(["node"])
-    sets = materialize(sets, "asked")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("x").alias("ax")), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("bx")), "b")
     shared = F.size(F.array_intersect("ax", "bx"))
     return materialize(both.where(shared * (100 + percent) >= (F.size("ax") + F.size("bx")) * percent).select("a", "b"), "links")
@@ -140,7 +167,7 @@ def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80,
     tried = sized.join(leaders, ["shingle", "size"]).select("ph", "leader").distinct()
     side = lambda p: [F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("parity").alias(f"{p}_parity")]
     tried = tried.join(member.select("ph", *side("a")), "ph").join(nodes.select(*side("b")), F.col("leader") == F.col("b"))
-    links = _linked(tried.where("a <> b").where(_may_link(percent)).select("a", "b").distinct(), docs, words, percent, id_col, text_col)
+    links = _linked(tried.where("a <> b").where(_may_link(percent)).select("a", "b").distinct(), every, docs, words, percent, id_col, text_col)
     edges = links.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).unionByName(same)
     part = materialize(components(edges), "components")
 
@@ -151,7 +178,7 @@ def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80,
     left = materialize(tokens.join(open_, "shingle", "left_semi").join(known, "ph").select("shingle", "node", "n", "parity", "c"), "open")
     a, b = (left.select(F.col("shingle").alias(f"{p}_shingle"), *side(p), F.col("c").alias(f"{p}_c")) for p in "ab")
     rest = a.join(b, (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _may_link(percent)).select("a", "b").distinct()
-    more = _linked(rest, docs, words, percent, id_col, text_col)
+    more = _linked(rest, every, docs, words, percent, id_col, text_col)
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a._id", "b._id").toDF("a", "b")))
     out = every.select("_id", "n").join(whole.select(F.col("node").alias("_id"), "component"), "_id", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))
