@@ -149,7 +149,7 @@ class TrieBpe:
         """The words of a text without special tokens.
 
         Texts with characters whose class depends on the age of Unicode tables are cut by the library."""
-        if max(text, default="") >= NEWER:
+        if not text.isascii() and max(text) >= NEWER:
             back = {c: bytes([i]) for i, c in enumerate(self.bytes)}
             cut = self.library[1](self.library[0](text))
             return [b"".join([back[c] for c in w]).decode("utf-8", "surrogateescape") for w, _ in cut]
@@ -168,8 +168,15 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """For each text: its ids as decimals and its decoded tokens, joined by blanks, and the count."""
+        names = self.names
+        for ids in self.id_strings(texts):
+            each = ids.split(" ") if ids else []
+            yield ids, " ".join([names[x] for x in each]), len(each)
+
+    def id_strings(self, texts: list[str | None]) -> Iterator[str]:
+        """For each text its ids as decimals, joined by blanks."""
         cut: list[list[str]] = []
-        size, names = 0, self.names
+        size = 0
         for i, text in enumerate(texts):
             cut.append(self.pieces(text) if text else [])
             size += len(cut[-1])
@@ -177,9 +184,7 @@ class TrieBpe:
                 self.learn({w for words in cut for w in words})
                 known = self.words
                 for words in cut:
-                    ids = " ".join([known[w] for w in words])
-                    each = ids.split(" ") if ids else []
-                    yield ids, " ".join([names[x] for x in each]), len(each)
+                    yield " ".join([known[w] for w in words])
                 size, cut = 0, []
 
     def encode(self, text: str | None) -> list[int]:
@@ -190,14 +195,26 @@ class TrieBpe:
         return " ".join(self.names[str(i)] for i in ids)
 
 
-_known: dict[str, TrieBpe] = {}
+class LibraryBpe(TrieBpe):
+    """The same words and ids; the tokenizers library's model encodes each new word by itself."""
+
+    def __init__(self, path: str, limit: int = 800_000) -> None:
+        super().__init__(path, limit)
+        self.model = Tokenizer.from_file(path).model
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, str]]:
+        for word in words:
+            yield word, " ".join([str(t.id) for t in self.model.tokenize(word)])
+
+
+_known: dict[tuple[type, str], TrieBpe] = {}
 
 
-def codec(path: str) -> TrieBpe:
+def codec(path: str, kind: type[TrieBpe] = TrieBpe) -> TrieBpe:
     """This process's codec for a vocabulary file; its bounded word table serves all tasks."""
-    if path not in _known:
-        _known[path] = TrieBpe(path)
-    return _known[path]
+    if (kind, path) not in _known:
+        _known[kind, path] = kind(path)
+    return _known[kind, path]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

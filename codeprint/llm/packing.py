@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeprint.llm.bpe import codec
+from codeprint.llm.bpe import LibraryBpe, codec
 
 #: Pieces that are packed together at most, so that a task's memory is bounded.
 PACK_TOKENS = 2_000_000
@@ -94,7 +94,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | No
     packed as often as they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = codec(path)
+        tokenizer = codec(path, LibraryBpe)
         end = int(tokenizer.fixed[" <|endoftext|>"])
         held: list[tuple[object, np.ndarray]] = []
         n = 0
@@ -110,9 +110,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | No
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, (ids, _, k) in zip(batch.column(0).to_pylist(), tokenizer.encode_batch(batch.column(1).to_pylist()), strict=True):
-                held.append((doc, np.append(np.fromstring(ids, dtype=np.int32, sep=" "), np.int32(end)) if k else np.array([end], np.int32)))
-                n += k + 1
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.id_strings(batch.column(1).to_pylist()), strict=True):
+                held.append((doc, np.fromstring(f"{ids} {end}", dtype=np.int32, sep=" ")))
+                n += len(held[-1][1])
                 if n > PACK_TOKENS:
                     yield from flush()
                     n = 0
