@@ -217,3 +217,20 @@ def test_quality(spark, empty):
     got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, quality.fit_quality(docs, labels, ~quality.held_out())).collect()}
     assert len(got) == 402 and np.mean([(got[i] >= 0.5) == (i % 4 > 0) for i in range(400)]) > 0.95
     assert quality.fit_quality(empty.select("doc_id", "text"), labels.limit(0), F.lit(True)) is None
+
+
+def test_wide_parity_bitmaps_fold_and_bound_the_distance():
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 2**63, 900, dtype=np.uint64)
+    for n in (1, 64, 300, 900):
+        assert 64 * ngram_join.wide_words(n) >= n
+    long, short = ngram_join.parity_words(x, 16), ngram_join.parity_words(x, 8)
+    assert (long[:8] ^ long[8:] == short).all()
+    apart = np.bitwise_count(ngram_join.parity_words(x[:-20], 16).view(np.uint64) ^ long.view(np.uint64)).sum()
+    assert 0 < apart <= 20
+
+
+def test_library_words_have_the_trie_ids():
+    texts = ["it's a <|endoftext|> test", "ÉCOLE Σας 日本 x12!?", "", None, "unbelievably " * 3]
+    path = vocabulary()
+    assert list(bpe.LibraryBpe(path).id_strings(texts)) == list(bpe.TrieBpe(path).id_strings(texts))
