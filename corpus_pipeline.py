@@ -28,8 +28,7 @@ def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order in which the sources reach their target weights."""
-    mixed = mixing.mix_sources(docs, WEIGHTS, other=2, block_rows=BLOCK_ROWS)
-    return mixed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    return mixing.in_mixed_order(docs, WEIGHTS, other=2, block_rows=BLOCK_ROWS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
