@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from codeprint.llm.common import maybe_broadcast
 
 UND = "und"
+#: Leading bits of the id's hash by which training documents are counted before they are ranked.
+LEADING_BITS = 12
 _letters: list[np.ndarray] = []
 
 
@@ -60,8 +62,14 @@ def fit_profiles(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     """Each language's ``size`` most frequent n-grams, most frequent first.
 
     Learnt from at most ``docs_per_lang`` documents of each language (a bounded sample, those with the
-    smallest hash of the id) among the rows where ``train`` holds and the language is not null."""
-    ids = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    smallest hash of the id) among the rows where ``train`` holds and the language is not null.  Counts
+    of the hashes' leading bits show up to which of them the sample reaches, so only rows up to there
+    are ranked."""
+    ids = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.shiftright(F.xxhash64(id_col), 64 - LEADING_BITS).alias("_lead"))
+    sums = ids.groupBy("_lang", "_lead").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_lang").orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = sums.withColumn("_b", earlier).where(F.col("_b") < docs_per_lang).groupBy("_lang").agg(F.max("_lead").alias("_reach"))
+    ids = ids.join(maybe_broadcast(reach, reach.count()), "_lang").where("_lead <= _reach").select("_id", "_lang")
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     chosen = ids.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= docs_per_lang).drop("_rn").distinct()
     chosen = maybe_broadcast(chosen, chosen.count())
@@ -140,4 +148,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at[lang_col]] = lang
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([x != UND for x in lang.to_pylist()]))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow resolves names, which may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
