@@ -11,8 +11,8 @@ from codeprint.llm.common import ranked
 OTHER = "*"
 #: The columns that mix_sources adds.
 ADDED = ("pool", "block", "release", "deadline", "slot", "position")
-#: Slots whose starts are summed in one task; across chunks only their totals are.
-CHUNK_SLOTS = 2048
+#: Cycles whose starts are summed in one task; across chunks only their totals are.
+CHUNK_CYCLES = 4096
 
 
 def _named(name: str) -> Column:
@@ -53,10 +53,13 @@ def _placed(docs: DataFrame, weights: dict[str, int], other: int, block_rows: in
         .withColumn("deadline", F.col("_cycle") * q + F.ceil((k + 1) * q / F.col("_p")))
         .withColumn("slot", (F.col("_cycle") * q + F.element_at("_slots", (k + 1).cast("int"))).cast("long"))
     )
-    filled = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_chunk", F.expr(f"slot div {CHUNK_SLOTS}"))
+    filled = rows.groupBy("_cycle", "slot").agg(F.count(F.lit(1)).alias("_n"))
     before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    earlier = filled.groupBy("_chunk").agg(F.sum("_n").alias("_n")).select("_chunk", before(Window.orderBy("_chunk")).alias("_earlier"))
-    starts = filled.select("_chunk", "slot", before(Window.partitionBy("_chunk").orderBy("slot")).alias("_before")).join(earlier, "_chunk").select("slot", (F.col("_before") + F.col("_earlier")).alias("_start"))
+    cycles = filled.groupBy("_cycle").agg(F.sum("_n").alias("_n")).withColumn("_chunk", F.expr(f"_cycle div {CHUNK_CYCLES}"))
+    far = cycles.groupBy("_chunk").agg(F.sum("_n").alias("_n")).select("_chunk", before(Window.orderBy("_chunk")).alias("_far"))
+    near = cycles.select("_cycle", "_chunk", before(Window.partitionBy("_chunk").orderBy("_cycle")).alias("_near")).join(far, "_chunk")
+    starts = filled.select("_cycle", "slot", before(Window.partitionBy("_cycle").orderBy("slot")).alias("_before")).join(near, "_cycle")
+    starts = starts.select("slot", (F.col("_before") + F.col("_near") + F.col("_far")).alias("_start"))
     rows = rows.join(starts, "slot").withColumn("position", F.col("_start") + F.col("_rank") % block_rows)
     return rows.select("_row", "pool", *(F.col(c).cast("long").alias(c) for c in ADDED[1:]))
 
