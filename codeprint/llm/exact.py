@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeprint.llm.common import maybe_broadcast
+from codeprint.llm.common import materialize, maybe_broadcast
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -21,7 +21,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_h", F.unhex(F.md5("_text")))
     many = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
     groups = rows.join(many, "_h", "left_semi").groupBy("_h", "_text").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    sides = groups.groupBy("_h").agg(F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
+    # written, so that it is computed once and that the join below can split a hash that many rows share
+    sides = materialize(groups.groupBy("_h").agg(F.min("keep_id").alias("keep_id"), F.min("group_size").alias("group_size"), F.count(F.lit(1)).alias("_texts")), "copies")
     out = rows.select("_id", "_h", F.sha2("_text", 256).alias("text_sha256")).join(sides, "_h", "left")
     if clashing := sides.where("_texts > 1").count():
         bad = maybe_broadcast(sides.where("_texts > 1").select("_h"), clashing)
