@@ -450,12 +450,12 @@ def svm_ablation(spark, sf):
 
 @query()
 def preprocess_ablation(spark, sf):
-    return learning.preprocess_ablation(_code_samples(spark, sf), "problem", features.FEATURE_SETS[:2])
+    return learning.preprocess_ablation(_code_samples(spark, sf), "problem")
 
 
 @query()
 def tfidf_ablation(spark, sf):
-    return learning.tfidf_ablation(_code_samples(spark, sf), "problem", [tfidf.TFIDF_SETS[0], tfidf.TFIDF_SETS[3]])
+    return learning.tfidf_ablation(_code_samples(spark, sf), "problem")
 
 
 @query()
