@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeprint.functions.text import LINE_ENDS, informative, order_key
+from codeprint.functions.text import LINE_ENDS, informative
+from codeprint.operators.perturbed import TIE, TrigramTable, counted_trigrams, probabilities
 
 MASK_RATE, TOP_P, SAMPLES, THRESHOLD = 0.05, 0.1, 30, 0.97
+#: Up to so many trigrams, or tokens to fill in, a model is sent to the executors; beyond, copies are scored by shuffle joins.
+SENT_ROWS = 1 << 20
 
 
 class Scorer(Protocol):
@@ -33,12 +36,17 @@ class TrigramScorer:
     """Character trigrams with add-k smoothing, counted over a training corpus."""
 
     def __init__(self, train: DataFrame, text: str = "text", k: float = 0.1) -> None:
-        grams = self._grams(train.select(F.col(text).alias("line")).where("line IS NOT NULL"))
-        three = grams.groupBy("context", "next").agg(F.sum("uses").alias("n"))
+        three = counted_trigrams(train, text).groupBy("context", "next").agg(F.sum("uses").alias("n"))
         two = three.groupBy("context").agg(F.sum("n").alias("m"))
         self.k, self.vocabulary = k, F.lit(256.0)
         self.model = three.join(two, "context").select("context", "next", "n", "m")
         self.contexts = two
+        self.counts = three
+
+    def table(self, rows: int = SENT_ROWS) -> TrigramTable | None:
+        """The model as one object, unless it has more than ``rows`` trigrams."""
+        got = self.counts.select("context", "next", "n").limit(rows + 1).toArrow()
+        return TrigramTable(got["context"].to_pylist(), got["next"].to_pylist(), got["n"].to_numpy(), self.k, 256.0) if len(got) <= rows else None
 
     @staticmethod
     def _grams(lines: DataFrame) -> DataFrame:
@@ -73,14 +81,18 @@ def code_scores(rows: DataFrame, scorer: Scorer, text: str, *keys: str) -> DataF
 
 
 def uniform(seed: int, *columns: str | Column) -> Column:
-    """A number in [0, 1) drawn from the md5 of seed and columns."""
-    return F.conv(F.substring(order_key(seed, *columns), 1, 12), 16, 10).cast("double") / float(16**12)
+    """A number in [0, 1) drawn from the xxhash64 of seed and columns."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), *columns), 11).cast("double") / float(1 << 53)
+
+
+def _draw(seed: int, keys: tuple[str, ...], i: Column) -> Column:
+    return uniform(seed, *keys, *[F.col(c).cast("long") for c in ("line_no", "replica")], i.cast("long"))
 
 
 def perturb(lines: DataFrame, weight: str, copies: int = SAMPLES, rate: float = MASK_RATE, seed: int = 42, keys: tuple[str, ...] = ("id",), mask: str = "<mask>") -> DataFrame:
     """``copies`` of each line; informative tokens are masked with probability rate * (1 + 2 weight)."""
     tokens = lines.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    drawn = F.transform(F.split("line", " "), lambda t, i: F.when(informative(t) & (uniform(seed, *keys, "line_no", "replica", i.cast("string")) < rate * (1 + 2 * F.col(weight))), mask).otherwise(t))
+    drawn = F.transform(F.split("line", " "), lambda t, i: F.when(informative(t) & (_draw(seed, keys, i) < rate * (1 + 2 * F.col(weight))), mask).otherwise(t))
     return tokens.withColumn("line", F.array_join(drawn, " "))
 
 
@@ -95,21 +107,34 @@ def nucleus(rows: DataFrame, by: list[str], p: str, key: str, top_p: float = TOP
 def fill_masks(lines: DataFrame, likely: DataFrame, seed: int = 42, keys: tuple[str, ...] = ("id",), mask: str = "<mask>") -> DataFrame:
     """Each mask becomes a token of the nucleus (at most a few rows: token, share), drawn by its number."""
     words = likely.agg(F.sort_array(F.collect_list("token")).alias("_w"))
-    pick = lambda i: F.get(F.col("_w"), F.floor(uniform(seed + 1, *keys, "line_no", "replica", i.cast("string")) * F.size("_w")).cast("int"))
+    pick = lambda i: F.get(F.col("_w"), F.floor(_draw(seed + 1, keys, i) * F.size("_w")).cast("int"))
     filled = F.transform(F.split("line", " "), lambda t, i: F.when(t == mask, F.coalesce(pick(i), F.lit(""))).otherwise(t))
     return lines.crossJoin(F.broadcast(words)).withColumn("line", F.array_join(filled, " ")).drop("_w")
 
 
-def detect(rows: DataFrame, scorer: Scorer, likely: DataFrame, text: str = "text", key: str = "id", copies: int = SAMPLES) -> DataFrame:
+def detect(rows: DataFrame, scorer: Scorer, likely: DataFrame, text: str = "text", key: str = "id", copies: int = SAMPLES, sent: int = SENT_ROWS) -> DataFrame:
     """(id, probability, is_machine): how often a perturbed copy scores above the original; true above THRESHOLD."""
+    table = scorer.table(sent) if isinstance(scorer, TrigramScorer) else None
+    words = sorted(r["token"] for r in likely.select("token").limit(sent + 1).collect()) if table else []
+    if table and len(words) <= sent:
+        ends = [(i + 1) / len(words) for i in range(len(words))]
+        share = probabilities(rows, table, words, ends, text, key, copies, MASK_RATE, 42)
+    else:
+        share = rows.select(key).join(_shares_by_joins(rows, scorer, likely, text, key, copies), key, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    return share.select(key, "probability", (F.col("probability") > THRESHOLD).alias("is_machine"))
+
+
+def _shares_by_joins(rows: DataFrame, scorer: Scorer, likely: DataFrame, text: str, key: str, copies: int) -> DataFrame:
+    """(id, probability) of any scorer: every copy is written out and scored."""
     lines = scorer.line_losses(split_lines(rows, text, key))
     original = line_score(lines, key).withColumnRenamed("score", "_own")
     ends = lines.groupBy(key).agg(F.min("loss").alias("_lo"), F.max("loss").alias("_hi"))
-    weighted = lines.join(ends, key).withColumn("w", F.coalesce(F.try_divide(F.col("loss") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.5))).select(key, "line_no", "line", "w")
+    span = F.col("_hi") - F.col("_lo")
+    weight = F.when(span <= 1e-8 + 1e-5 * F.col("_lo"), 0.5).otherwise(F.try_divide(F.col("loss") - F.col("_lo"), span))
+    weighted = lines.join(ends, key).withColumn("w", weight).select(key, "line_no", "line", "w")
     copied = fill_masks(perturb(weighted, "w", copies, keys=(key,)), likely, keys=(key,)).select(key, "line_no", "replica", "line")
     scores = line_score(scorer.line_losses(copied), key, "replica").where(~F.isnan("score"))
-    share = scores.join(original, key).groupBy(key).agg(F.avg((F.col("score") > F.col("_own")).cast("double")).alias("probability"))
-    return rows.select(key).join(share, key, "left").select(key, F.coalesce("probability", F.lit(0.0)).alias("probability"), (F.coalesce("probability", F.lit(0.0)) > THRESHOLD).alias("is_machine"))
+    return scores.join(original, key).groupBy(key).agg(F.avg((F.col("score") > F.col("_own") * (1 + TIE)).cast("double")).alias("probability"))
 
 
 def token_entropy(tokens: DataFrame, key: str, token: str) -> DataFrame:

@@ -467,10 +467,10 @@ def perplexity_ngram(spark, sf):
 
 @query()
 def perturb_detect(spark, sf):
-    docs = view(spark, sf, "code_v").select("id", F.col("code").alias("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     words = docs.select(F.explode(F.split("text", " ")).alias("token")).where(text.informative(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     likely = words.orderBy(F.desc("n"), "token").limit(20)
-    return scoring.detect(docs, scoring.TrigramScorer(docs), likely, copies=5)
+    return scoring.detect(docs, scoring.TrigramScorer(docs), likely)
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
