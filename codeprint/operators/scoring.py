@@ -96,7 +96,7 @@ def perturb(lines: DataFrame, weight: str, copies: int = SAMPLES, rate: float =
     return tokens.withColumn("line", F.array_join(drawn, " "))
 
 
-def nucleus(rows: DataFrame, by: list[str], p: str, key: str, top_p: float = TOP_P) -> DataFrame:
+def nucleus(rows: DataFrame, by: list[str], p: str, key: str, top_p: float | Column = TOP_P) -> DataFrame:
     """Rows whose cumulative probability stays within ``top_p``, and the most likely one; renormalised as ``share``."""
     order = Window.partitionBy(*by).orderBy(F.desc(p), key)
     kept = rows.withColumn("_c", F.sum(p).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.row_number().over(order)).where((F.col("_c") <= top_p) | (F.col("_r") == 1))
@@ -104,10 +104,27 @@ def nucleus(rows: DataFrame, by: list[str], p: str, key: str, top_p: float = TOP
     return kept.join(total, by).withColumn("share", F.col(p) / F.col("_t")).drop("_c", "_r", "_t")
 
 
+def corpus_nucleus(tokens: DataFrame, top_p: float = TOP_P) -> DataFrame:
+    """(token, n, p, share): the nucleus of all ``tokens``, one row a token.  Only tokens as frequent as it reaches are ranked."""
+    n = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    levels = n.groupBy("n").agg(F.sum("n").alias("_m"))  # one row a count
+    above = F.coalesce(F.sum("_m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = levels.withColumn("_a", above).crossJoin(F.broadcast(levels.agg(F.sum("_m").alias("_of")))).where(F.col("_a") <= F.col("_of") * top_p)
+    least = reached.agg(F.min("n").alias("_least"), F.first("_of").alias("_of"))  # one row
+    ranked = n.crossJoin(F.broadcast(least)).where("n >= _least").withColumn("_all", F.lit(0))
+    return nucleus(ranked, ["_all"], "n", "token", F.col("_of") * top_p).select("token", "n", (F.col("n") / F.col("_of")).alias("p"), "share")
+
+
+def cumulated(likely: DataFrame) -> DataFrame:
+    """(end, token): the tokens of a nucleus with their cumulative share, most likely first."""
+    return likely.select(F.sum("share").over(Window.orderBy(F.desc("share"), "token").rowsBetween(Window.unboundedPreceding, 0)).alias("end"), "token")
+
+
 def fill_masks(lines: DataFrame, likely: DataFrame, seed: int = 42, keys: tuple[str, ...] = ("id",), mask: str = "<mask>") -> DataFrame:
-    """Each mask becomes a token of the nucleus (at most a few rows: token, share), drawn by its number."""
-    words = likely.agg(F.sort_array(F.collect_list("token")).alias("_w"))
-    pick = lambda i: F.get(F.col("_w"), F.floor(_draw(seed + 1, keys, i) * F.size("_w")).cast("int"))
+    """Each mask becomes a token of the nucleus (token, share), drawn by its number from the cumulative share."""
+    words = cumulated(likely).agg(F.sort_array(F.collect_list(F.struct("end", "token"))).alias("_w"))
+    passed = lambda i: F.size(F.filter("_w", lambda x: x["end"] <= _draw(seed + 1, keys, i)))
+    pick = lambda i: F.get(F.col("_w"), F.least(passed(i), F.size("_w") - 1))["token"]
     filled = F.transform(F.split("line", " "), lambda t, i: F.when(t == mask, F.coalesce(pick(i), F.lit(""))).otherwise(t))
     return lines.crossJoin(F.broadcast(words)).withColumn("line", F.array_join(filled, " ")).drop("_w")
 
@@ -115,10 +132,9 @@ def fill_masks(lines: DataFrame, likely: DataFrame, seed: int = 42, keys: tuple[
 def detect(rows: DataFrame, scorer: Scorer, likely: DataFrame, text: str = "text", key: str = "id", copies: int = SAMPLES, sent: int = SENT_ROWS) -> DataFrame:
     """(id, probability, is_machine): how often a perturbed copy scores above the original; true above THRESHOLD."""
     table = scorer.table(sent) if isinstance(scorer, TrigramScorer) else None
-    words = sorted(r["token"] for r in likely.select("token").limit(sent + 1).collect()) if table else []
+    words = sorted(cumulated(likely).limit(sent + 1).collect()) if table else []
     if table and len(words) <= sent:
-        ends = [(i + 1) / len(words) for i in range(len(words))]
-        share = probabilities(rows, table, words, ends, text, key, copies, MASK_RATE, 42)
+        share = probabilities(rows, table, [w["token"] for w in words], [w["end"] for w in words], text, key, copies, MASK_RATE, 42)
     else:
         share = rows.select(key).join(_shares_by_joins(rows, scorer, likely, text, key, copies), key, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return share.select(key, "probability", (F.col("probability") > THRESHOLD).alias("is_machine"))

@@ -468,8 +468,9 @@ def perplexity_ngram(spark, sf):
 @query()
 def perturb_detect(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    words = docs.select(F.explode(F.split("text", " ")).alias("token")).where(text.informative(F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    likely = words.orderBy(F.desc("n"), "token").limit(20)
+    lines = docs.select(F.explode(F.split("text", text.LINE_ENDS)).alias("line"))
+    tokens = lines.select(F.explode(F.split("line", " ")).alias("token")).where(text.informative(F.col("token")))
+    likely = scoring.corpus_nucleus(tokens)
     return scoring.detect(docs, scoring.TrigramScorer(docs), likely)
 
 

@@ -83,3 +83,26 @@ def test_query_perturbs_every_document_30_times(spark, tmp_path):
     got = catalogue.QUERIES["perturb_detect"](spark, str(tmp_path)).collect()
     assert sorted(r["id"] for r in got) == [k for k, _ in rows]
     assert all(round(r["probability"] * 30, 6).is_integer() for r in got) and any(not round(r["probability"] * 5, 6).is_integer() for r in got)
+
+
+@pytest.mark.parametrize("sent", [scoring.SENT_ROWS, 0], ids=["sent", "joins"])
+def test_fills_are_drawn_by_share(spark, sent):
+    rows = list(enumerate(TEXTS))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    likely = spark.createDataFrame([("mat", 0.125), ("z9", 0.125), ("the", 0.75)], "token string, share double")
+    got = scoring.detect(docs, scoring.TrigramScorer(docs), likely, sent=sent).collect()
+    want = brute(rows, draws(spark, rows, 30), ["the", "mat", "z9"], [0.75, 0.875, 1.0], 30)
+    assert {r["id"]: round(r["probability"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("words", [[f"w{i:03}" for i in range(400)], ["a"] * 50 + [f"w{i}" for i in range(50)], ["a"] * 3 + ["b"] * 3 + [f"c{i}" for i in range(54)]])
+def test_nucleus_has_no_row_limit(spark, words):
+    got = scoring.corpus_nucleus(spark.createDataFrame([(w,) for w in words], "token string")).collect()
+    order = sorted(Counter(words).items(), key=lambda x: (-x[1], x[0]))
+    kept, passed = [], 0
+    for i, (w, n) in enumerate(order):
+        passed += n
+        if not i or passed <= len(words) / 10:
+            kept.append((w, n))
+    total = sum(n for _, n in kept)
+    assert {r["token"]: round(r["share"], 9) for r in got} == {w: round(n / total, 9) for w, n in kept}
