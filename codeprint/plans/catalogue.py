@@ -445,7 +445,7 @@ def _code_samples(spark, sf):
 
 @query()
 def svm_ablation(spark, sf):
-    return learning.feature_ablation_cv(_code_samples(spark, sf), "problem", 2, [features.ABLATIONS[6]])
+    return learning.feature_ablation_cv(_code_samples(spark, sf), "problem")
 
 
 @query()
