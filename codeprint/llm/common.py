@@ -6,13 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of one Arrow batch: a batch of very long texts still fits a worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch (a single longer row is a batch of its own), and the bytes of
+#: text that a worker takes at once.
+ARROW_ROWS, ARROW_BYTES, TEXT_BYTES = 1000, 4 << 20, 1 << 20
 #: A side is broadcast only after a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 
@@ -20,16 +25,34 @@ _own_root: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lower the Arrow batch size, unless it is lower already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lower the bounds of Arrow batches, unless they are lower already."""
+    for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, str(bound + 1)).lower().rstrip("b")
+        if not now.isdecimal() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of at most TEXT_BYTES of text in ``column``, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            done = ends[at] - sizes[at]
+            to = max(int(np.searchsorted(ends, done + TEXT_BYTES, side="right")), at + 1)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a temporary one serves a local session (tests); on a cluster that is an error,
+    as executors don't share their disks."""
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="codeprint-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -51,6 +74,12 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def repeats_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether two rows share an id, or one has none."""
+    ids = df.groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return not ids.where("_n > 1 OR _id IS NULL").isEmpty()
+
+
 def dataset(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,8 +96,3 @@ def ranked(df: DataFrame, key: str, bucket: str, order: list[Column], out: str)
     offsets = counts.select(key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(key, bucket).orderBy(*order))
     return df.join(offsets, [key, bucket]).withColumn(out, (F.col("_before") + inside - 1).cast("long")).drop("_before")
-
-
-def words_ascii(data: bytes) -> list[bytes]:
-    """The maximal runs of bytes outside 0x20 and 0x09-0x0D."""
-    return data.split()

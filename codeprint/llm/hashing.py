@@ -12,9 +12,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multipliers of independent hash functions.
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: What a byte counts: itself and one more, so that no byte counts nothing; blanks count nothing.
+_BYTES = np.arange(1, 257, dtype=np.uint64)
 _BYTES[_BLANK] = 0
-_WORD = np.uint64(0xA24BAED4963EE407)
+#: Bytes hashed at once.
+PIECE_BYTES = 1 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,16 +27,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64."""
-    out = np.full(max(n, 1), base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def place_factors(n: int, seed: int) -> np.ndarray:
+    """A pseudo-random factor for each place in a word; no factor follows from another."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
 
 
-def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = False, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of bytes outside 0x20 and 0x09-0x0D) of all texts in order, and the
-    number of the first word of each text (one entry more than texts).  Null is the empty text."""
+    number of the first word of each text (one entry more than texts).  Null is the empty text.
+
+    A word's hash is the sum of its bytes, each times the factor of its place: a multilinear hash,
+    which unlike powers of one base has no words that collide by their structure.  Another seed
+    gives an independent hash."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     n = len(column)
     if not n:
@@ -53,9 +58,13 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    gaps = np.diff(np.append(starts, len(data)))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, gaps)
-    hashes = np.add.reduceat(_BYTES[data[starts[0] :]] * powers(_WORD, int(gaps.max()))[place], starts - starts[0])
+    ends, hashes = np.append(starts[1:], len(data)), np.empty(len(starts), np.uint64)
+    factors = place_factors(int((ends - starts).max()), seed)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), PIECE_BYTES)), len(starts)))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # bounds the memory of long texts
+        lo, hi = starts[a], ends[b - 1]
+        place = np.arange(lo, hi) - np.repeat(starts[a:b], ends[a:b] - starts[a:b])
+        hashes[a:b] = np.add.reduceat(_BYTES[data[lo:hi]] * factors[place], starts[a:b] - lo)
     return mix(hashes), np.searchsorted(starts, at)
 
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeprint.llm.common import materialize, maybe_broadcast
+from codeprint.llm.common import bounded, materialize, repeats_ids
 from codeprint.llm.graph import components
 from codeprint.llm.hashing import MULTIPLIERS, mix, ngrams, signed, word_hashes
 
-#: Counters of the frequency sketch, and how many of them one row of its partial sums holds.
-COUNTERS, CHUNK = 1 << 20, 1 << 13
+#: Counters of the frequency sketch, how many of them one row of its partial sums holds, and the
+#: tasks whose sums are added first.
+COUNTERS, CHUNK, TASKS = 1 << 20, 1 << 13, 512
 #: 64-bit words of a set's parity bitmap, and of the smallest wide one, which grows with the set.
 PARITY, WIDE = 8, 4
 
@@ -33,6 +36,17 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def word_list(text: bytes | None) -> list[bytes]:
+    """The words of a text; bytes.lower lowers A-Z alone, bytes.split cuts at 0x20 and 0x09-0x0D."""
+    return (text or b"").lower().split()
+
+
+def exact_shingles(text: bytes | None, words: int) -> set:
+    """The set of shingles itself, without hashes."""
+    own = word_list(text)
+    return set(zip(*(own[i:] for i in range(words)), strict=False)) if len(own) >= words else {tuple(own)} if own else set()
+
+
 def frequency_sketch(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     """How often shingles fall on each of COUNTERS counters, over all texts.
 
@@ -40,22 +54,24 @@ def frequency_sketch(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     order gives the same result, and counters that many shingles share cost time only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        total, task = np.zeros(COUNTERS, dtype=np.int64), TaskContext.get().partitionId() // TASKS
+        for batch in bounded(batches, 0):
             if sets := [x for x in shingle_sets(batch.column(0), words) if len(x)]:
                 total += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
         for i in np.flatnonzero(total.reshape(-1, CHUNK).any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * CHUNK : (i + 1) * CHUNK].astype(np.int32)], pa.list_(pa.int32()))], ["chunk", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([i], pa.int32()), pa.array([total[i * CHUNK : (i + 1) * CHUNK]], pa.list_(pa.int32()))], ["task", "chunk", "n"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         n = table.column("n").combine_chunks().flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0, dtype=np.int64)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
 
-    parts = docs.select(text_col).mapInArrow(count, "chunk int, n array<int>").groupBy("chunk").applyInArrow(add, "chunk int, n array<long>")
+    parts = docs.select(text_col).mapInArrow(count, "task int, chunk int, n array<int>").groupBy("chunk", "task").applyInArrow(add, "chunk int, n array<long>")
+    parts = parts.groupBy("chunk").applyInArrow(add, "chunk int, n array<long>")
     out = np.zeros(COUNTERS, dtype=np.int64)
     for r in parts.collect():  # COUNTERS / CHUNK rows at most
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r["n"]
-    return out
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def parity_words(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -72,26 +88,34 @@ def wide_words(n: int) -> int:
 
 
 def _described(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, n, s1, s2 (hash of the set), prefix, parity, wide (the parity bitmap that grows with n) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, text_col).astype(np.int32))
+    """One row a document: _id, m (digest of its words in order), n, s1, s2 (hash of the set), prefix and its digest
+    ph (with n), parity, wide (the parity bitmap that grows with n).
+
+    A set too small to link with any other than itself has no prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, s1, s2, prefix, parity, wide = [], [], [], [], [], []
+        for batch in bounded(batches, 1):
+            m = [md5(b" ".join(word_list(t))).digest() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            n, s1, s2, ph, prefix, parity, wide = [], [], [], [], [], [], []
             for x in shingle_sets(batch.column(1), words):
                 n.append(len(x))
-                m = mix(x + np.uint64(1))
-                s1.append(m.sum(dtype=np.uint64))
-                s2.append(mix(m).sum(dtype=np.uint64))
-                size = len(x) - -(-len(x) * percent // 100) + 1 if len(x) else 0
+                y = mix(x + np.uint64(1))
+                s1.append(y.sum(dtype=np.uint64))
+                s2.append(mix(y).sum(dtype=np.uint64))
+                size = len(x) - -(-len(x) * percent // 100) + 1 if 100 * len(x) >= percent * (len(x) + 1) else 0
                 order = np.lexsort((x, shared.value[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:size]
                 prefix.append(x[order].view(np.int64))
-                parity.append(parity_words(m, PARITY))
-                wide.append(parity_words(m, wide_words(len(x))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(np.array(s1, np.uint64)), signed(np.array(s2, np.uint64)), pa.array(prefix, pa.list_(pa.int64())), *(pa.array(c, pa.list_(pa.int64())) for c in (parity, wide))], ["_id", "n", "s1", "s2", "prefix", "parity", "wide"])
+                ph.append(md5(len(x).to_bytes(8) + x[order].tobytes()).digest())
+                parity.append(parity_words(y, PARITY))
+                wide.append(parity_words(y, wide_words(len(x))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m, pa.binary()), pa.array(n, pa.int64()), signed(np.array(s1, np.uint64)), signed(np.array(s2, np.uint64)), pa.array(ph, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in (prefix, parity, wide))], ["_id", "m", "n", "s1", "s2", "ph", "prefix", "parity", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return materialize(docs.select(F.col(id_col).alias("_id"), F.col(text_col)).mapInArrow(run, f"_id {kind}, n long, s1 long, s2 long, prefix array<long>, parity array<long>, wide array<long>"), "sets")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, m binary, n long, s1 long, s2 long, ph binary, prefix array<long>, parity array<long>, wide array<long>")
+    out = materialize(rows, "sets")
+    shared.destroy()
+    return out
 
 
 def _may_link(percent: int) -> Column:
@@ -104,9 +128,11 @@ def _may_link(percent: int) -> Column:
 def _close(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes left by the wide bitmaps, whose distance is a lower bound of the symmetric difference.
 
-    The bitmaps of sets that link differ in length by a factor of two at most (percent >= 50); the longer is folded."""
+    Bitmaps that differ in length by a factor of two are compared after the longer is folded; those
+    that differ by more (possible below 50 percent) decide nothing."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wide = every.where("n > 0").select(F.struct("_id", "s1").alias("node"), "n", "wide").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("w"))
+    wide = every.where("n > 0").select(F.struct("_id", "m").alias("node"), "n", "wide").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("w"))
+    wide = materialize(wide, "bitmaps")
     a, b = (wide.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("w").alias(f"{p}_w")) for p in "ab")
     xor = lambda x, y: x.bitwiseXOR(y)
     folded = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(F.col(x))
@@ -117,22 +143,35 @@ def _close(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, every: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets link; the whole sets are compared."""
+    """Those pairs (a, b) of nodes whose sets link; the shingles themselves are compared, not their hashes."""
     pairs = materialize(_close(materialize(pairs, "tried"), every, percent), "pairs")
     nodes = pairs.select(F.col("a._id").alias("_id")).unionByName(pairs.select(F.col("b._id").alias("_id"))).distinct()
-    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(maybe_broadcast(nodes, nodes.count()), "_id", "left_semi")
+    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(materialize(nodes, "asked"), "_id", "left_semi")
     kind = asked.schema["_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), words)
-            s1 = np.array([mix(x + np.uint64(1)).sum(dtype=np.uint64) for x in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(s1), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["_id", "s1", "x"])
+            m = [md5(b" ".join(word_list(t))).digest() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m, pa.binary()), batch.column(1)], ["_id", "m", "t"])
 
-    sets = asked.mapInArrow(run, f"_id {kind}, s1 long, x array<long>").select(F.struct("_id", "s1").alias("node"), "x").dropDuplicates(["node"])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("x").alias("ax")), "a").join(sets.select(F.col("node").alias("b"), F.col("x").alias("bx")), "b")
-    shared = F.size(F.array_intersect("ax", "bx"))
-    return materialize(both.where(shared * (100 + percent) >= (F.size("ax") + F.size("bx")) * percent).select("a", "b"), "links")
+    texts = asked.mapInArrow(name, f"_id {kind}, m binary, t string").select(F.struct("_id", "m").alias("node"), "t").dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, set()
+        for batch in bounded(bounded(batches, 2), 3):
+            keep = []
+            for ta, tb in zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)), strict=True):
+                if tb != last:  # rows come sorted by b
+                    last, y = tb, exact_shingles(tb, words)
+                x = exact_shingles(ta, words)
+                shared = len(x & y)
+                keep.append(bool(x) and 100 * shared >= percent * (len(x) + len(y) - shared))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    node = f"struct<_id:{kind},m:binary>"
+    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {node}, b {node}"), "links")
 
 
 def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,42 +181,52 @@ def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80,
     100 * intersection >= percent * union of their sets of distinct shingles.  component_id is the
     smallest id reachable by links, the row's own included.  Null, empty and blank texts have no
     shingles and link with nothing; rows that repeat an id share a component; a row with a null id
-    links with nothing.
-
-    Equal sets are one node.  Nodes with the same prefix and size form a group; groups that share a
-    prefix shingle are tried first against one leader each, expanded to their members and verified.
-    Pairs that these links leave in different components are then all tried, so no link between
-    different components is lost, and the pairs inside a component are never listed."""
-    every = _described(docs, words, percent, id_col, text_col).withColumn("ph", F.xxhash64("n", "prefix"))
+    links with nothing.  Other columns are not read.
+
+    Equal sets are one node; texts of one node whose words differ in order are compared like any
+    other pair.  Nodes with the same prefix and size form a group; groups that share a prefix shingle
+    are tried first against one leader each, expanded to their members and verified.  Pairs that
+    these links leave in different components are then all tried, by prefix shingle and class of
+    size, so no link between different components is lost, and the pairs inside a component are
+    never listed.  Every link is verified on the shingles themselves."""
+    every = _described(docs, words, percent, id_col, text_col)
     sets = every.where("n > 0 AND _id IS NOT NULL")
-    nodes = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("_id", "s1")).alias("node"), F.first("ph").alias("ph"), F.first("parity").alias("parity"))
+    nodes = sets.groupBy("s1", "s2", "n").agg(F.min(F.struct("_id", "m")).alias("node"), F.first("ph").alias("ph"), F.first("parity").alias("parity"))
     nodes = materialize(nodes, "nodes")
-    same = sets.select("_id", "s1", "s2", "n").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).select(F.col("_id").alias("a"), F.col("node._id").alias("b")).where("a <> b")
+    # texts of the same words in the same order are linked outright, through the smallest id that has them
+    orders = materialize(sets.groupBy("s1", "s2", "n", "m").agg(F.min("_id").alias("first")), "orders")
+    same = sets.select("_id", "m").join(orders.select("m", "first"), "m").select(F.col("_id").alias("a"), F.col("first").alias("b")).where("a <> b")
+    reordered = orders.join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).where("m <> node.m").select(F.struct(F.col("first").alias("_id"), "m").alias("a"), F.col("node").alias("b"))
 
-    groups = sets.groupBy("ph").agg(F.first("prefix").alias("prefix"), (F.min("s1") < F.max("s1")).alias("several"))
+    groups = sets.where("size(prefix) > 0").groupBy("ph").agg(F.first("prefix").alias("prefix"), (F.min("s1") < F.max("s1")).alias("several"))
     listed = groups.select("ph", "several", F.explode("prefix").alias("shingle")).repartition("shingle")
     common = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.max("several").alias("several")).where("k > 1 OR several").select("shingle")
     tokens = materialize(listed.select("ph", "shingle").join(common, "shingle", "left_semi"), "shingles")
 
-    member = nodes.select("node", "n", "ph", "parity")
+    # sizes of linked sets are at most one class apart
+    step = float(-np.log(percent / 100)) * (1 + 1e-9) if percent < 100 else 1e-3
+    member = nodes.select("node", "n", "ph", "parity", F.floor(F.log("n") / step).alias("size"))
     leading = nodes.groupBy("ph").agg(F.min("node").alias("group"), F.first("n").alias("n"))
-    step = float(-2 * np.log(percent / 100)) if percent < 100 else 1e-3
-    sized = tokens.join(leading, "ph").select("shingle", "ph", "group", F.floor(F.log("n") / step).alias("size"))
-    leaders = sized.groupBy("shingle", "size").agg(F.min("group").alias("leader"))
-    tried = sized.join(leaders, ["shingle", "size"]).select("ph", "leader").distinct()
+    sized = materialize(tokens.join(leading, "ph").select("shingle", "ph", "group", F.floor(F.log("n") / step / 2).alias("wide")), "sized")
+    leaders = materialize(sized.groupBy("shingle", "wide").agg(F.min("group").alias("leader")), "leaders")
+    tried = materialize(sized.join(leaders, ["shingle", "wide"]).select("ph", "leader").distinct(), "leading")
     side = lambda p: [F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("parity").alias(f"{p}_parity")]
     tried = tried.join(member.select("ph", *side("a")), "ph").join(nodes.select(*side("b")), F.col("leader") == F.col("b"))
-    links = _linked(tried.where("a <> b").where(_may_link(percent)).select("a", "b").distinct(), every, docs, words, percent, id_col, text_col)
+    tried = tried.where("a <> b").where(_may_link(percent)).select("a", "b").distinct()
+    links = _linked(tried.unionByName(reordered).distinct(), every, docs, words, percent, id_col, text_col)
     edges = links.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).unionByName(same)
     part = materialize(components(edges), "components")
 
     own = part.select(F.col("node").alias("_node"), F.col("component").alias("c"))
-    known = materialize(member.join(own, F.col("node._id") == F.col("_node"), "left").select("node", "n", "ph", "parity", F.coalesce("c", "node._id").alias("c")), "known")
+    known = materialize(member.join(own, F.col("node._id") == F.col("_node"), "left").select("node", "n", "ph", "parity", "size", F.coalesce("c", "node._id").alias("c")), "known")
     spread = tokens.join(known.select("ph", "node", "c"), "ph")
-    open_ = spread.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle")
-    left = materialize(tokens.join(open_, "shingle", "left_semi").join(known, "ph").select("shingle", "node", "n", "parity", "c"), "open")
-    a, b = (left.select(F.col("shingle").alias(f"{p}_shingle"), *side(p), F.col("c").alias(f"{p}_c")) for p in "ab")
-    rest = a.join(b, (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a") < F.col("b")) & (F.col("a_c") != F.col("b_c")) & _may_link(percent)).select("a", "b").distinct()
+    open_ = materialize(spread.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle"), "open")
+    left = materialize(tokens.join(open_, "shingle", "left_semi").join(known, "ph").select("shingle", "size", "node", "n", "parity", "c"), "left")
+    a = left.select(F.col("shingle").alias("a_shingle"), F.col("size").alias("a_size"), *side("a"), F.col("c").alias("a_c"))
+    b = left.select(F.col("shingle").alias("b_shingle"), F.col("size").alias("_size"), F.explode(F.array("size", F.col("size") + 1)).alias("b_size"), *side("b"), F.col("c").alias("b_c"))
+    met = (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a_size") == F.col("b_size"))
+    once = (F.col("_size") != F.col("a_size")) | (F.col("a") < F.col("b"))
+    rest = a.join(b, met & once & (F.col("a_c") != F.col("b_c")) & _may_link(percent)).select("a", "b").distinct()
     more = _linked(rest, every, docs, words, percent, id_col, text_col)
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a._id", "b._id").toDF("a", "b")))
     out = every.select("_id", "n").join(whole.select(F.col("node").alias("_id"), "component"), "_id", "left")
@@ -185,6 +234,15 @@ def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80,
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents of a component other than its smallest id.  Ids are unique."""
-    lost = near_duplicate_documents(docs, words, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost"))
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """Of the rows of ``docs`` in one component one, that with the smallest id, with all its columns.
+
+    Where ids repeat or are null, a row goes by its id (null first) and the digest of its text; of rows
+    that repeat both any one stays."""
+    if not repeats_ids(docs, id_col):
+        lost = near_duplicate_documents(docs, words, percent, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost"))
+        return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    key = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), key.alias("_key"), F.col(text_col).alias("_text"))
+    lost = near_duplicate_documents(rows, words, percent, "_key", "_text").where("_key <> component_id").select(F.col("_key").alias("_lost")).distinct()
+    left = rows.join(lost, F.col("_key") == F.col("_lost"), "left_anti").dropDuplicates(["_key"])
+    return left.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -1,11 +1,13 @@
 """Substring dedup over the compacted de Bruijn graph of the corpus.
 
-A window of ``window`` words is an edge of the graph.  Neighbouring edges of a document that have
-the same minimizer (the smallest hash of a short n-gram in the window) are one path; equal edges
-have equal minimizers, so paths can only share edges within a minimizer.  A join on minimizers
-finds the repeated ones; equal paths compact into one, which keeps the smallest source document.
-Only where a minimizer has several different paths are these cut into single edges again, and only
-for the first source of each path.
+A window of ``window`` words is an edge of the graph; the words it shares with the next window are
+the node between them.  Neighbouring edges of a document that have the same minimizer (the smallest
+hash of a short n-gram in the window) are one path.  Equal edges have equal minimizers, so paths can
+share edges within a minimizer only.  Where all paths of a minimizer are equal, none of their nodes
+branches and they compact into one path, which keeps its smallest source document.  Where they
+differ, some node has two ways in or out; there the first source of each path is cut into its edges
+again.  Paths are joined on their words, and an edge found by its hashes counts only after its words
+have been compared at the coordinates of both documents.
 """
 
 from __future__ import annotations
@@ -15,16 +17,17 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeprint.llm.common import materialize
-from codeprint.llm.hashing import MULTIPLIERS, mix, ngrams, powers, signed, word_hashes
+from codeprint.llm.common import bounded, materialize
+from codeprint.llm.hashing import MULTIPLIERS, mix, ngrams, signed, word_hashes
 
 #: Words of the n-grams among which minimizers are chosen.
 SEED_WORDS = 16
-#: Rows with a list of spans each: broadcast up to this many, joined by a shuffle beyond.
-SPAN_ROWS = 150_000
+#: Repeated minimizers that a bitmap may stand for, bits for each of them, and bits at least.
+BITMAP_KEYS, BITS_A_KEY, LEAST_BITS = 1 << 22, 16, 1 << 16
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -37,13 +40,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def paths(column: pa.Array, window: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one minimizer: text number, first word, number of windows,
-    minimizer and two digests of the words covered."""
+    """Maximal runs of windows with one minimizer: text number, first word, number of windows, minimizer."""
     words, first = word_hashes(column)
     n = len(words) - window + 1
     empty = np.empty(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, *(np.empty(0, np.uint64),) * 3
+        return empty, empty, empty, np.empty(0, np.uint64)
     seed = max(1, min(SEED_WORDS, window))
     seeds = mix(ngrams(words, seed, MULTIPLIERS[0]))
     low = sliding_min((seeds & ~_PLACE) | np.arange(len(seeds), dtype=np.uint64), window - seed + 1)[:n] & _PLACE
@@ -53,82 +55,159 @@ def paths(column: pa.Array, window: int) -> tuple[np.ndarray, ...]:
     change[1:] = (low[1:] != low[:-1]) | ~valid[:-1]
     starts = np.flatnonzero(valid & change)
     edge = np.flatnonzero(np.append(change | ~valid, True))
-    ends = edge[np.searchsorted(edge, starts, side="right")]
-    count = ends - starts
-    digests = []
-    for base in MULTIPLIERS:
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(words * powers(base, len(words)))))
-        digests.append(mix((total[ends + window - 1] - total[starts]) * powers(inverse, len(words))[starts] + count.astype(np.uint64)))
-    return text[starts], starts - first[text[starts]], count, seeds[low[starts].astype(np.int64)], *digests
-
-
-def _edges(column: pa.Array, spans: list[list[dict]], window: int) -> tuple[np.ndarray, ...]:
-    """Text number, first word and two hashes of every window in the given spans."""
-    words, first = word_hashes(column)
-    text = np.array([i for i, s in enumerate(spans) for _ in s], dtype=np.int64)
-    start = np.array([x["pos"] for s in spans for x in s], dtype=np.int64)
-    count = np.array([x["n"] for s in spans for x in s], dtype=np.int64)
-    if not len(text):
-        return text, start, *(np.empty(0, np.uint64),) * 2
-    text, begin = np.repeat(text, count), np.repeat(start, count)
-    at = begin + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    return text, at, *(mix(ngrams(words, window, base))[first[text] + at] for base in MULTIPLIERS)
+    count = edge[np.searchsorted(edge, starts, side="right")] - starts
+    return text[starts], starts - first[text[starts]], count, seeds[low[starts].astype(np.int64)]
+
+
+def split_words(text: bytes | None) -> list[bytes]:
+    """The words of a text: bytes.split cuts at 0x20 and 0x09-0x0D."""
+    return (text or b"").split()
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits (a power of two), those set on which a key of the column ``low`` falls."""
+    at = F.col("low").bitwiseAND(F.lit(bits - 1))
+    cells = keys.select(F.shiftright(at, 6).cast("int").alias("cell"), F.expr(f"shiftleft(1L, cast((low & {bits - 1}) & 63 AS int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    got = cells.toArrow()  # bits / 64 rows at most
+    out[got.column("cell").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _path_words(rows: DataFrame, window: int, shared: DataFrame, bitmap_keys: int) -> DataFrame:
+    """(low, _id, _th, pos, n, words): the paths of the minimizers in ``shared``, and perhaps others, with their words.
 
+    Up to ``bitmap_keys`` minimizers are sent to the workers as a bitmap; it lets some others through.
+    Beyond that, paths and minimizers are joined by a shuffle, then texts and paths."""
+    kind = rows.schema["_id"].dataType.simpleString()
+    fields = f"low long, _id {kind}, _th long, pos int, n int"
+    names = ["low", "_id", "_th", "pos", "n", "words"]
+    many = shared.count()
+    if many <= bitmap_keys:
+        bits = max(LEAST_BITS, 1 << (BITS_A_KEY * many).bit_length())
+        known = rows.sparkSession.sparkContext.broadcast(_bitmap(shared, bits))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = np.uint64(bits - 1)
+            for batch in bounded(batches, 2):
+                text, pos, n, low = paths(batch.column(2), window)
+                at = low & last
+                hit = np.flatnonzero((known.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+                text, pos, n, low = text[hit], pos[hit], n[hit], low[hit]
+                texts, said, before, own = batch.column(2).cast(pa.binary()), [], -1, []
+                for t, p, k in zip(text.tolist(), pos.tolist(), n.tolist(), strict=True):
+                    if t != before:
+                        before, own = t, split_words(texts[t].as_py())
+                    said.append(b" ".join(own[p : p + k + window - 1]))
+                who = pa.array(text)
+                yield pa.RecordBatch.from_arrays([signed(low), batch.column(0).take(who), batch.column(1).take(who), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(said, pa.binary())], names)
+
+        out = materialize(rows.mapInArrow(cut, f"{fields}, words binary"), "paths")
+        known.destroy()
+        return out
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 2):
+            text, pos, n, low = paths(batch.column(2), window)
+            who = pa.array(text)
+            yield pa.RecordBatch.from_arrays([signed(low), batch.column(0).take(who), batch.column(1).take(who), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names[:5])
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 2):
+            for i, (text, spans) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                own = split_words(text)
+                said = [b" ".join(own[s["pos"] : s["pos"] + s["n"] + window - 1]) for s in spans]
+                columns = [pa.array([s[c] for s in spans], t) for c, t in (("low", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()))]
+                who = pa.array([i] * len(spans))
+                yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(who), batch.column(1).take(who), *columns[1:], pa.array(said, pa.binary())], names)
+
+    found = rows.mapInArrow(place, fields).join(shared, "low", "left_semi")
+    spans = materialize(found.groupBy("_id", "_th").agg(F.collect_list(F.struct("low", "pos", "n")).alias("spans")), "asked")  # a text's own
+    texts = rows.dropDuplicates(["_id", "_th"]).join(spans, ["_id", "_th"]).select("_id", "_th", "_text", "spans")
+    return materialize(texts.mapInArrow(say, f"{fields}, words binary"), "paths")
+
+
+def _edge_spans(firsts: DataFrame, window: int, kind: str) -> DataFrame:
+    """(_id, _th, pos, n): the windows of these paths (_id, _th, pos, n, words) that start in one of them with a smaller id.
+
+    Two independent pairs of hashes propose an edge's first source; its words are then compared."""
+    key = f"_id {kind}, _th long, pos int"
 
-def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 4):
+            n = batch.column(3).to_numpy().astype(np.int64)
+            who = np.repeat(np.arange(len(n)), n)
+            off = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            hashed = []
+            for seed, base in enumerate(MULTIPLIERS, 1):
+                words, first = word_hashes(batch.column(4), seed=seed)
+                hashed.append(signed(mix(ngrams(words, window, base))[first[who] + off]))
+            at = pa.array(who)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *hashed, pa.array(off.astype(np.int32))], ["_id", "_th", "pos", "a", "b", "off"])
+
+    edges = materialize(firsts.select("_id", "_th", "pos", "n", "words").mapInArrow(cut, f"{key}, a long, b long, off int"), "edges")
+    source = edges.groupBy("a", "b").agg(F.min(F.struct("_id", "_th", "pos", "off")).alias("s"), F.max("_id").alias("last")).where("s._id < last").drop("last")
+    claims = edges.join(materialize(source, "sources"), ["a", "b"]).where("s._id < _id")
+    claims = claims.groupBy("_id", "_th", "pos", F.col("s._id").alias("_sid"), F.col("s._th").alias("_sth"), F.col("s.pos").alias("_spos")).agg(F.collect_list(F.struct("off", F.col("s.off").alias("soff"))).alias("offs"))  # a path's own
+    claims = materialize(claims, "claims")
+    own = firsts.select("_id", "_th", "pos", "words")
+    theirs = firsts.select(F.col("_id").alias("_sid"), F.col("_th").alias("_sth"), F.col("pos").alias("_spos"), F.col("words").alias("said"))
+    both = claims.join(own, ["_id", "_th", "pos"]).join(theirs, ["_sid", "_sth", "_spos"]).select("_id", "_th", "pos", "offs", "words", "said")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(bounded(batches, 4), 5):
+            who, at = [], []
+            for i, (pos, offs, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                x, y = split_words(x), split_words(y)
+                same = [pos + o["off"] for o in offs if x[o["off"] : o["off"] + window] == y[o["soff"] : o["soff"] + window]]
+                who += [i] * len(same)
+                at += same
+            rows = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int32())], ["_id", "_th", "pos"])
+
+    return both.mapInArrow(compare, key).withColumn("n", F.lit(1))
+
+
+def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str, bitmap_keys: int = BITMAP_KEYS) -> DataFrame:
     """(_id, _th, spans): for each text with removable windows, their first words and lengths in windows."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, pos, n, low, a, b = paths(batch.column(2), window)
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(low), signed(a), signed(b), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], ["_id", "_th", "low", "a", "b", "pos", "n"])
-
-    all_paths = rows.mapInArrow(cut, f"_id {kind}, _th long, low long, a long, b long, pos int, n int")
-    shared = all_paths.groupBy("low").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).where("x < y").select("low")
-    found = materialize(all_paths.join(shared, "low", "left_semi"), "paths")
-
-    compact = found.groupBy("low", "a", "b").agg(F.min("_id").alias("source"))
-    branching = compact.groupBy("low").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("low")
-    placed = found.join(compact, ["low", "a", "b"])
-    whole = placed.where("source < _id").select("_id", "_th", "pos", "n")
-    firsts = placed.where("source = _id").join(branching, "low", "left_semi")
-    asked = materialize(firsts.groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "firsts")
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, pos, a, b = _edges(batch.column(2), batch.column(3).to_pylist(), window)
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(a), signed(b), pa.array(pos.astype(np.int32))], ["_id", "_th", "a", "b", "pos"])
-
-    near = F.broadcast(asked) if asked.count() <= SPAN_ROWS else asked
-    asked_rows = rows.join(near, ["_id", "_th"]).select("_id", "_th", "_text", "spans")
-    edges = materialize(asked_rows.mapInArrow(expand, f"_id {kind}, _th long, a long, b long, pos int"), "edges")
-    source = edges.groupBy("a", "b").agg(F.min("_id").alias("source"), F.max("_id").alias("last")).where("source < last").select("a", "b", "source")
-    single = edges.join(source, ["a", "b"]).where("source < _id").select("_id", "_th", "pos", F.lit(1).alias("n"))
-    return materialize(whole.unionByName(single).groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "spans")
-
-
-def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, 2):
+            text, _, _, low = paths(batch.column(2), window)
+            yield pa.RecordBatch.from_arrays([signed(low), batch.column(0).take(pa.array(text))], ["low", "_id"])
+
+    shared = rows.mapInArrow(lows, f"low long, _id {kind}").groupBy("low").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).where("x < y").select("low")
+    found = _path_words(rows, window, materialize(shared, "minimizers"), bitmap_keys).withColumn("h", F.xxhash64("words"))
+
+    # written, as are the sides of the joins below, so that AQE can split a key that many rows share
+    compact = materialize(found.groupBy("low", "h", "words").agg(F.min("_id").alias("source"), F.max("_id").alias("last")), "compact")
+    branching = compact.groupBy("low").agg(F.count(F.lit(1)).alias("k"), F.min("source").alias("x"), F.max("last").alias("y")).where("k > 1 AND x < y").select("low")
+    whole = found.join(compact.where("source < last"), ["low", "h", "words"]).where("source < _id").select("_id", "_th", "pos", "n")
+    unlike = compact.join(materialize(branching, "branching"), "low", "left_semi").select("low", "h", "words", F.col("source").alias("_id"))
+    firsts = found.join(materialize(unlike, "unlike"), ["low", "h", "words", "_id"]).select("_id", "_th", "pos", "n", "words")
+    firsts = materialize(firsts.dropDuplicates(["_id", "_th", "pos"]), "firsts")
+    spans = whole.unionByName(_edge_spans(firsts, window, kind))
+    return materialize(spans.distinct().groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "spans")
+
+
+def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, bitmap_keys: int = BITMAP_KEYS) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 of each row (``with_text``: also kept_text).
 
     Words are the runs of bytes outside 0x20 and 0x09-0x0D.  A word goes if a window of ``window``
     words covers it whose words also start in a text with a smaller id; kept words are joined by one
-    blank.  Windows are equal when two independent 64-bit hashes of their words agree, taken at the
-    coordinates of both.  Null and empty texts have no words; rows with a null id neither lose words
-    nor take any from others; rows that repeat an id are no source for each other."""
-    spans = repeated_spans(docs, window, id_col, text_col)
-    found = F.broadcast(spans) if spans.count() <= SPAN_ROWS else spans
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).join(found, ["_id", "_th"], "left").select("_id", "_text", "spans")
+    blank.  Windows are equal when their words are; hashes only propose them.  Null and empty texts
+    have no words; rows with a null id neither lose words nor take any from others; rows that repeat
+    an id are no source for each other.  Other columns are not read."""
+    spans = repeated_spans(docs, window, id_col, text_col, bitmap_keys)
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text")).join(spans, ["_id", "_th"], "left").select("_id", "_text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             size, lost, kept = [], [], []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = (text or "").encode("utf-8", "surrogatepass").split()
+            for text, own in zip(pc.fill_null(batch.column(1), "").cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = split_words(text)
                 size.append(len(words))
                 if own:
                     gone = np.zeros(len(words), dtype=bool)
@@ -138,7 +217,7 @@ def remove_repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_
                 lost.append(size[-1] - len(words))
                 kept.append(b" ".join(words))
             out = [batch.column(0), pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array([sha256(k).hexdigest() for k in kept], pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, *([pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())] if with_text else [])], names)
+            yield pa.RecordBatch.from_arrays([*out, *([pa.array(kept, pa.binary()).cast(pa.string())] if with_text else [])], names)
 
     names = [id_col, "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     return rows.mapInArrow(cut, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
