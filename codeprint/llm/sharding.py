@@ -13,6 +13,26 @@ from codeprint.llm.common import materialize, ranked
 
 #: Rows that a source block holds at least, and the most blocks: the matrix never exceeds MAX_BLOCKS x shards.
 BLOCK_ROWS, MAX_BLOCKS = 8192, 4096
+#: Items from which numpy's sampler draws.
+SMALL_POPULATION = 10**9
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` items drawn without replacement are among the ``good`` ones.
+
+    numpy draws up to 10^9 items.  Beyond, the distribution function is inverted: weights follow from
+    the ratios of neighbouring ones, outwards from the mode over nine standard deviations and more,
+    outside of which less than 10^-18 lies."""
+    if good + bad < SMALL_POPULATION:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 64 + int(9 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / (total - 1))))
+    first, last = max(0, n - bad, mode - reach), min(n, good, mode + reach)
+    x = np.arange(first, last, dtype=np.float64)
+    weights = np.concatenate(([0.0], np.cumsum(np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1))))
+    sums = np.cumsum(np.exp(weights - weights.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def communication_matrix(block_counts: list[int], shard_sizes: list[int], seed: int) -> np.ndarray:
@@ -20,11 +40,15 @@ def communication_matrix(block_counts: list[int], shard_sizes: list[int], seed:
 
     Each block's row is a multivariate hypergeometric draw from what the shards still lack, which is
     the law of a uniform permutation of all rows."""
-    rng, left = np.random.default_rng(seed), np.array(shard_sizes, dtype=np.int64)
+    rng, left = np.random.default_rng(seed), list(shard_sizes)
     out = np.zeros((len(block_counts), len(shard_sizes)), dtype=np.int64)
     for i, n in enumerate(block_counts):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= out[i]
+        rest = sum(left)
+        for j, own in enumerate(left):
+            rest -= own
+            out[i, j] = drawn = hypergeometric(rng, own, rest, n) if n else 0
+            left[j] -= drawn
+            n -= drawn
     return out
 
 
@@ -33,23 +57,24 @@ def shuffle_into_shards(rows: DataFrame, id_col: str, n_shards: int, seed: int =
 
     Shard sizes differ by one at most.  Blocks are made from a hash of the id, so the result does
     not depend on how the input is split, and a recomputed task gives the same rows.  Only counts of
-    at most MAX_BLOCKS blocks reach the driver.  Rows equal in all columns may swap places, which
-    cannot be seen; an empty table gives an empty result; null ids are rows like others."""
+    at most MAX_BLOCKS blocks reach the driver.  Rows that share an id, or have none, are dealt by
+    their other columns; rows equal in all columns may swap places, which cannot be seen.  An empty
+    table gives an empty result."""
     spark = rows.sparkSession
     names = [c for c in rows.columns if c != id_col]
     n = rows.count()
     blocks = max(1, min(MAX_BLOCKS, math.ceil(n / BLOCK_ROWS)))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), id_col, *names), F.lit(blocks)).cast("int"))
     counts = {r["_block"]: r["count"] for r in dealt.groupBy("_block").count().collect()}
     sizes = [n // n_shards + (j < n % n_shards) for j in range(n_shards)]
     matrix = communication_matrix([counts.get(i, 0) for i in range(blocks)], sizes, seed).cumsum(axis=1)
     ends = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(matrix)], "_block int, _ends array<bigint>")
-    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), id_col), id_col, *names)
+    local = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), id_col, *names), id_col, *names)
     sent = (
         dealt.withColumn("_at", F.row_number().over(local) - 1)
         .join(F.broadcast(ends), "_block")
         .withColumn("shard", F.size(F.filter("_ends", lambda x: x <= F.col("_at"))))
-        .withColumn("_r", F.xxhash64(F.lit(seed + 2), id_col))
+        .withColumn("_r", F.xxhash64(F.lit(seed + 2), id_col, *names))
         .withColumn("_part", F.pmod("_r", F.lit(blocks)).cast("int"))
         .drop("_block", "_at", "_ends")
     )
@@ -65,6 +90,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", n_shards: int = 24, seed: int = 20240517) -> None:
-    """Write ``docs`` (unique ids) in shard folders, each file in slot order."""
+    """Write ``docs`` in folders shard=0, shard=1, ..., each file in the order of the column ``slot``, which is added.
+
+    ``docs`` has unique ids and no column called shard or slot; rows without an id are not placed."""
     placed = shuffle_into_shards(docs.select(id_col), id_col, n_shards, seed)
     docs.join(placed, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
