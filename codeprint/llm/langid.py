@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeprint.llm.common import maybe_broadcast
+from codeprint.llm.common import bounded, maybe_broadcast
 
 UND = "und"
 #: Leading bits of the id's hash by which training documents are counted before they are ranked.
@@ -76,7 +76,7 @@ def fit_profiles(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(chosen, ["_id", "_lang"], "left_semi").select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by.setdefault(lang, []).append(ngram_codes(text))
@@ -124,7 +124,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, size)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             got = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [id_col, "lang_pred", "score"])
 
@@ -136,17 +136,25 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those that have no identifiable language, with the language set to the predicted one."""
+    """``docs`` without those that have no letter, with the language set to the predicted one.
+
+    Where no profile can be learnt, documents with a letter keep the language they have.  Equal rows
+    get equal answers; null texts have no letter; other columns pass as they are."""
     profiles = fit_profiles(docs, F.lit(True), id_col, text_col, lang_col)
     at = {c: docs.columns.index(c) for c in (text_col, lang_col)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, 300)
-        for batch in batches:
-            lang = pa.array([model.predict(t)[0] for t in batch.column(at[text_col]).to_pylist()], batch.schema.field(at[lang_col]).type)
+        for batch in bounded(batches, at[text_col]):
+            texts = batch.column(at[text_col]).to_pylist()
             columns = list(batch.columns)
-            columns[at[lang_col]] = lang
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([x != UND for x in lang.to_pylist()]))
+            if model.langs:
+                lang = [model.predict(t)[0] for t in texts]
+                keep = [x != UND for x in lang]
+                columns[at[lang_col]] = pa.array(lang, batch.schema.field(at[lang_col]).type)
+            else:
+                keep = [len(ngram_codes(t)) > 0 for t in texts]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # mapInArrow resolves names, which may hold dots
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
