@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeprint.llm.common import BROADCAST_ROWS, materialize, maybe_broadcast, repeats_ids
 
 
+def content_hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -20,7 +24,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that repeat an id are counted each, and all of them are kept when that id stays; a null id
     is never preferred to another.  Other columns are not read."""
     best = F.min if keep == "min" else F.max
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_h", F.unhex(F.md5("_text")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_h", content_hash(F.col("_text")))
     many = materialize(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "hashes")
     if many.count() <= broadcast_rows:
         copies = rows.join(F.broadcast(many), "_h", "left_semi")

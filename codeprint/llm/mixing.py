@@ -37,6 +37,8 @@ def pfair_cycle(parts: dict[str, int]) -> dict[str, list[int]]:
 
 def _placed(docs: DataFrame, weights: dict[str, int], other: int, block_rows: int, id_col: str, source_col: str) -> DataFrame:
     """(_row, pool, block, release, deadline, slot, position): every row of ``docs`` as a struct, with its place."""
+    if OTHER in weights:
+        raise ValueError(f"the pool of other sources is called {OTHER}; its parts are given as other")
     parts = dict(weights) | {OTHER: other}
     q, plan = sum(parts.values()), pfair_cycle(parts)
     pool = F.when(F.col(source_col).isin(*weights), F.col(source_col)).otherwise(F.lit(OTHER)) if weights else F.lit(OTHER)

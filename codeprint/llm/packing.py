@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeprint.llm.bpe import LibraryBpe, codec
+from codeprint.llm.common import bounded
 
 #: Pieces that are packed together at most, so that a task's memory is bounded.
 PACK_TOKENS = 2_000_000
@@ -84,12 +85,13 @@ def packed_rows(items: list[tuple[object, np.ndarray]], length: int, pad: int) -
         yield [p[0] for p in own], [p[1] for p in own], [0, *ends.tolist()], ids, positions
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | None = None, id_col: str = "doc_id", text_col: str = "text", pack_tokens: int = PACK_TOKENS) -> DataFrame:
     """Packed rows of the tokens of ``docs``, each document ended by the end token.
 
     A row: doc_ids and offsets (of the pieces in it), cu_seqlens (from 0 to the tokens used), ids and
     position_ids (``length`` each; positions restart at 0 with each piece; the tail is padded).
-    Packing runs within an input partition over buffers of PACK_TOKENS tokens, without a shuffle.
+    Packing runs within an input partition over buffers of ``pack_tokens`` tokens, without a shuffle:
+    which documents share a row follows the input's split, and only a buffer's last rows are less full.
     Null and empty texts are the end token alone; an empty table gives no rows; repeated rows are
     packed as often as they occur."""
 
@@ -108,12 +110,12 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | No
             held.clear()
 
         id_type = None
-        for batch in batches:
+        for batch in bounded(batches, 1):
             id_type = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.id_strings(batch.column(1).to_pylist()), strict=True):
                 held.append((doc, np.fromstring(f"{ids} {end}", dtype=np.int32, sep=" ")))
                 n += len(held[-1][1])
-                if n > PACK_TOKENS:
+                if n > pack_tokens:
                     yield from flush()
                     n = 0
         if held:
