@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeprint.functions.text import build_prompt, job_id, order_key
+from codeprint.operators.ranks import bucketed, offsets
+from codeprint.scratch import materialize
 
 MAX_PAIRS = 25
 KEY = ["model", "year", "day", "code_variant", "style_variant", "use_comp_programming"]
@@ -71,22 +73,33 @@ def create_samples(generated: DataFrame) -> DataFrame:
 
 
 def length_batches(rows: DataFrame, length: str, key: str, size: int) -> DataFrame:
-    """``rows`` with ``batch``: rows in order of length, ``size`` to a batch.
+    """``rows`` with ``batch``: rows in order of length, then key, ``size`` to a batch.
 
-    Lengths are counted and their offsets added, so rows are ranked only among equals."""
-    counts = rows.groupBy(length).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(F.col(length).alias("_l"), F.coalesce(F.sum("_n").over(Window.orderBy(length).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(length).orderBy(key)) - 1
-    return rows.join(before, F.col(length) == F.col("_l")).withColumn("batch", F.floor(rank / size).cast("long")).drop("_l", "_before")
+    Rows are counted by length and bucket of the key and ranked only inside these, so a length that
+    many rows share is still spread."""
+    split = bucketed(rows, key).withColumn("_len", F.coalesce(length, F.lit(-1)))  # null lengths come first
+    counts = split.groupBy("_len", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    near = F.sum("_n").over(Window.partitionBy("_len").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    far = offsets(counts.groupBy("_len").agg(F.sum("_n").alias("_n")), "_n", ["_len"], "_far").select("_len", "_far")
+    starts = counts.withColumn("_near", F.coalesce(near, F.lit(0))).join(far, "_len").select("_len", "_bucket", (F.col("_near") + F.col("_far")).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_len", "_bucket").orderBy(key)) - 1
+    return split.join(starts, ["_len", "_bucket"]).withColumn("batch", F.floor(rank / size).cast("long")).drop("_len", "_bucket", "_before")
+
+
+def grid(spark, years: list[int], last_day: int = 25, last_days: dict[int, int] | None = None) -> DataFrame:  # noqa: ANN001
+    """(year, day): every day of every year; ``last_days`` names years that end on another day."""
+    ends = {y: (last_days or {}).get(y, last_day) for y in years}
+    return spark.createDataFrame([(y, ends[y]) for y in years], "year int, _n int").select("year", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("day"))
 
 
 def run_with_retries(jobs: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], retries: int = 3) -> tuple[DataFrame, DataFrame]:
     """(valid, failed) after generating the open jobs up to ``retries`` times.
 
-    ``attempt`` gives job_id, code and code_status; only jobs that failed are tried again."""
+    ``attempt`` gives job_id, code and code_status; only jobs that failed are tried again.  Each
+    attempt is written before it is judged, so a generator runs once for each job and attempt."""
     valid, left = None, jobs
     for i in range(retries):
-        done = attempt(left, i).where("code_status = 'ok'")
+        done = materialize(attempt(left, i), "attempt").where("code_status = 'ok'")
         valid = done if valid is None else valid.unionByName(done)
         left = left.join(done.select("job_id"), "job_id", "left_anti")
         if left.isEmpty():
