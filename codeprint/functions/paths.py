@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 #: Fixed patterns of years and days in path parts.
 YEAR = "(?i)(?:20\\d{2}|aoc[\\s_-]?\\d{2}|adventofcode\\d{2,4})"
 YEAR_WHOLE = "(?i)(?:20\\d{2}|aoc[\\s_-]?(?:20)?\\d{2}|adventofcode\\d{2,4})"
-DAY_WORD = "(?i)\\b(?:day|d)[\\s_-]?(\\d{1,2})\\b"
-DAY_BARE = "^(\\d{1,2})(?:\\D|$)"
-DAY_SUFFIXED = "(?i)^day[_-]?(\\d{1,2})(?:[_-][ab])?$"
+DAY_WORD = "(?i)(?:^|/)[^/]*?\\b(?:day|d)[\\s_-]?(\\d{1,2})\\b"
+DAY_BARE = "^(0?[1-9]|1\\d|2[0-5])(?:\\D|$)"
+DAY_SUFFIXED = "(?i)^day[_-]?(0?[1-9]|1\\d|2[0-5])(?:[_-][ab])?$"
+DAY = "^(?:0?[1-9]|1\\d|2[0-5])$"
 DAY_NAME = "(?i)^(day[\\s_-]?\\d{1,2}|d\\d{1,2}|\\d{1,2})(?:[\\s_-].*)?$"
 
 
@@ -32,23 +33,25 @@ def parent_name(path: Column) -> Column:
 
 
 def infer_year(path: Column, fixed: bool = False) -> Column:
-    """The year of the first part that matches.  By default ``aoc2021`` reads as ``aoc20``; ``fixed`` mends that."""
-    pattern = YEAR_WHOLE if fixed else YEAR
-    hits = F.filter(F.transform(parts(path), lambda p: F.regexp_extract(p, pattern, 0)), lambda m: m != "")
-    digits = F.regexp_extract(F.get(hits, F.lit(0)), "\\d{2,4}", 0)
-    return F.when(F.length(digits) == 2, F.concat(F.lit("20"), digits)).otherwise(digits)
+    """The year of the first part that matches.  By default ``aoc2021`` reads as ``aoc20``; ``fixed`` mends that.
+
+    No match runs over a slash, so the first one in the path is the first part's."""
+    hit = F.regexp_extract(path, YEAR_WHOLE if fixed else YEAR, 0)
+    return F.regexp_replace(F.nullif(F.regexp_extract(hit, "\\d{2,4}", 0), F.lit("")), "^(\\d{2})$", "20$1")
 
 
 def _day(digits: Column) -> Column:
-    day = F.expr("0") if digits is None else digits.try_cast("int")
-    return F.when(day.between(1, 25), F.lpad(day.cast("string"), 2, "0"))
+    """Two digits; null for an empty text."""
+    return F.nullif(F.lpad(digits, 2, "0"), F.lit("00"))
 
 
 def infer_day(path: Column) -> Column:
-    """Two digits, from the most specific hint: a day word, a bare number, a suffixed day, the folder."""
-    words = F.filter(F.transform(F.reverse(parts(path)), lambda p: _day(F.regexp_extract(p, DAY_WORD, 1))), lambda d: d.isNotNull())
+    """Two digits, from the most specific hint: a day word, a bare number, a suffixed day, the folder.
+
+    Of each part its first day word counts, and of the parts the last one whose day is 1 to 25."""
+    words = F.filter(F.regexp_extract_all(path, F.lit(DAY_WORD), F.lit(1)), lambda d: d.rlike(DAY))
     file = stem(name(path))
-    return F.coalesce(F.get(words, F.lit(0)), _day(F.regexp_extract(file, DAY_BARE, 1)), _day(F.regexp_extract(file, DAY_SUFFIXED, 1)), _day(F.regexp_extract(stem(parent_name(path)), DAY_BARE, 1)))
+    return F.coalesce(_day(F.try_element_at(words, F.lit(-1))), _day(F.regexp_extract(file, DAY_BARE, 1)), _day(F.regexp_extract(file, DAY_SUFFIXED, 1)), _day(F.regexp_extract(stem(parent_name(path)), DAY_BARE, 1)))
 
 
 def is_python(path: Column) -> Column:
