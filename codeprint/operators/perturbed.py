@@ -141,6 +141,7 @@ def _shares(lines: list[list[list[str]]], seeds: np.ndarray, table: TrigramTable
     starts = np.cumsum(per_doc) - per_doc
     flat = [x for doc in lines for x in doc]
     sizes = np.array([len(x) for x in flat])
+    blank = np.array([not any(map(str.strip, x)) for x in flat])  # no copy changes these, as no token of theirs is masked
     head = np.cumsum(sizes) - sizes
     ids: dict[str, int] = {}
     token = np.fromiter((ids.setdefault(t, len(ids)) for x in flat for t in x), np.int64, int(sizes.sum()))
@@ -160,7 +161,7 @@ def _shares(lines: list[list[list[str]]], seeds: np.ndarray, table: TrigramTable
         return out
 
     def loss(total: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        return np.where(chars > 0, np.exp(-total / np.maximum(chars, 1)), 0.0)
+        return np.where((chars > 0) & ~blank, np.exp(-total / np.maximum(chars, 1)), 0.0)
 
     base = cost(np.arange(len(form)), form)
     total, chars = np.add.reduceat(base, head), np.add.reduceat(n[form], head)

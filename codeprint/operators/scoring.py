@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeprint.functions.text import LINE_ENDS, informative
+from codeprint.functions.text import LINE_ENDS, informative, strip
+from codeprint.operators.metrics import auroc, binary_report, classify, confusion, thresholds
 from codeprint.operators.perturbed import TIE, TrigramTable, counted_trigrams, probabilities
+from codeprint.operators.splits import calibration_split
 
-MASK_RATE, TOP_P, SAMPLES, THRESHOLD = 0.05, 0.1, 30, 0.97
+MASK_RATE, TOP_P, SAMPLES, THRESHOLD, CALIBRATION = 0.05, 0.1, 30, 0.97, 300
 #: Up to so many trigrams, or tokens to fill in, a model is sent to the executors; beyond, copies are scored by shuffle joins.
 SENT_ROWS = 1 << 20
 
@@ -52,7 +54,7 @@ class TrigramScorer:
     def _grams(lines: DataFrame) -> DataFrame:
         """The trigrams of each line with their number, counted in the line before anything is shuffled."""
         keys = [c for c in lines.columns if c != "line"]
-        rows = lines.where("line <> ''").select(*keys, F.explode(_trigrams("line")).alias("_g"))
+        rows = lines.where(strip(F.col("line")) != "").select(*keys, F.explode(_trigrams("line")).alias("_g"))
         return rows.select(*keys, F.col("_g.context").alias("context"), F.col("_g.next").alias("next"), F.col("_g.uses").alias("uses"))
 
     def line_losses(self, lines: DataFrame) -> DataFrame:
@@ -80,6 +82,31 @@ def code_scores(rows: DataFrame, scorer: Scorer, text: str, *keys: str) -> DataF
     return line_score(scorer.line_losses(split_lines(rows, text, *keys)), *keys)
 
 
+def code_nll(rows: DataFrame, scorer: Scorer, text: str, *keys: str) -> DataFrame:
+    """(keys, nll): the mean negative log-likelihood of each whole text; 0 for a blank one."""
+    whole = scorer.line_losses(rows.select(*keys, F.coalesce(text, F.lit("")).alias("line")))
+    return whole.select(*keys, F.when(F.col("loss") > 0, F.log("loss")).otherwise(0.0).alias("nll"))
+
+
+def perplexity_run(human: DataFrame, machine: DataFrame, scorer: Scorer, model: str, text: str = "code", key: str = "id", n: int = CALIBRATION) -> DataFrame:
+    """One row for each data set (column ``dataset`` of ``machine``) and threshold strategy: threshold, counts, metrics, auroc.
+
+    Thresholds come from the scores of ``n`` human samples; all others are judged with each set of machine samples."""
+    known = calibration_split(human.select(key, text), key, n)
+    scored = code_scores(known, scorer, text, key).join(known.select(key, "is_calibration"), key)
+    limits = thresholds(scored.where("is_calibration"), "score")
+    sets = machine.select("dataset").distinct()  # one row a data set
+    own = code_scores(machine, scorer, text, "dataset", key).select("dataset", "score", F.lit(1).alias("y"))
+    others = scored.where("NOT is_calibration").crossJoin(F.broadcast(sets)).select("dataset", "score", F.lit(0).alias("y"))
+    rows = own.unionByName(others)
+    report = binary_report(confusion(classify(rows, limits), "y", "predicted", ["dataset", "strategy", "threshold"]))
+    names = [r["dataset"] for r in sets.collect()]
+    areas = [auroc(rows.where(F.col("dataset") == d), "y", "score").withColumn("dataset", F.lit(d)) for d in names]
+    for a in areas[1:]:
+        areas[0] = areas[0].unionByName(a)
+    return report.join(areas[0], "dataset").withColumn("model", F.lit(model))
+
+
 def uniform(seed: int, *columns: str | Column) -> Column:
     """A number in [0, 1) drawn from the xxhash64 of seed and columns."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), *columns), 11).cast("double") / float(1 << 53)

@@ -30,7 +30,7 @@ def load_completed(spark: SparkSession, path: str, model: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, text) of whole files."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def python_files(spark: SparkSession, path: str) -> DataFrame:

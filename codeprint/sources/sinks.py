@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,9 @@ def land_pages(pages: DataFrame, path: str) -> None:
 
 def write_requests(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").json(path)
+
+
+def write_batch_ids(spark: SparkSession, ids: list[tuple[str, str]], path: str) -> None:
+    """Append a section of two lines for each (file id, job id); readers.batch_ids reads them."""
+    sections = [(f"Batch file created with ID: {f}\nBatch job created with ID: {j}\n",) for f, j in ids]
+    spark.createDataFrame(sections, "value string").coalesce(1).write.mode("append").text(path)

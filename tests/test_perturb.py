@@ -25,6 +25,8 @@ def brute(rows, drawn, words, ends, copies):
             two[g[:2]] += 1
 
     def loss(line):
+        if not line.strip():
+            return 0.0
         padded = "\x02\x02" + line
         logs = [math.log((three[g] + 0.1) / (two[g[:2]] + 25.6)) for g in zip(padded, padded[1:], padded[2:], strict=False)]
         return math.exp(-math.fsum(logs) / len(logs)) if logs else 0.0
