@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeprint.functions import paths, pycode, text
-from codeprint.operators import batch_api, features, jobs, learning, metrics, repositories, scoring, splits, stats, tfidf
+from codeprint.operators import batch_api, features, gathering, jobs, learning, metrics, repositories, scoring, splits, stats, tfidf
 from codeprint.plans.views import cte, table, view
 from codeprint.streaming.incremental import windowed_counts
 
@@ -121,9 +121,9 @@ def unique_repo_files(spark, sf):
 
 
 @query(f"""{cte('paths_v')}, c AS (SELECT id, path, {_YEAR} AS year, {_DAY} AS day FROM paths_v WHERE ends_with(path, '.py') AND (regexp_matches({_STEM.format(_NAME)}, '{_DN}') OR regexp_matches({_PARENT}, '{_DN}')))
-  SELECT 'x = 1' AS code, 'human' AS label, year, day, 'python' AS language, string_split(path, '/')[5] AS repo, string_split(path, '/')[4] AS author, path FROM c WHERE year IN ('2021', '2024') AND day IS NOT NULL""")
+  SELECT 'x = ' || id::VARCHAR || chr(10) || 'y = x' AS code, 'human' AS label, year, day, 'python' AS language, string_split(path, '/')[5] AS repo, string_split(path, '/')[4] AS author, path FROM c WHERE year IN ('2021', '2024') AND day IS NOT NULL""")
 def human_samples(spark, sf):
-    files = view(spark, sf, "paths_v").withColumn("text", F.lit("x = 1  \r\n\r\n"))
+    files = view(spark, sf, "paths_v").withColumn("text", F.concat(F.lit("\n x = "), F.col("id").cast("string"), F.lit(" \t\r\ny = x\r\n\r\n")))
     return repositories.human_samples(repositories.solution_files(files, ["2021", "2024"]))
 
 
@@ -159,6 +159,11 @@ def job_grid(spark, sf):
     return view(spark, sf, "jobs_v").withColumn("job_id", text.job_id())
 
 
+@query("SELECT y::INT AS year, d::INT AS day FROM range(2015, 2025) a(y), range(1, 26) b(d)")
+def year_day_grid(spark, sf):
+    return jobs.grid(spark, list(range(2015, 2025)))
+
+
 _NATION = "SELECT (2015 + n_nationkey % 10)::INT AS year, (n_nationkey + 1)::INT AS day, n_name AS problem FROM nation"
 _PAIRS = "SELECT DISTINCT p_brand AS code_variant, p_type AS style_variant FROM part"
 
@@ -201,32 +206,37 @@ def pending_jobs(spark, sf):
     return out.withColumn("prompt_md5", F.md5("prompt")).drop("prompt")
 
 
-@query("SELECT conv_id, turn, to_json({'custom_id': 'm@2021@' || conv_id::VARCHAR || '@a@b@normal', 'method': 'POST', 'url': '/v1/responses', 'body': {'model': 'm', 'input': [{'role': 'system', 'content': 'sys'}, {'role': 'user', 'content': text}], 'max_output_tokens': 64}})::VARCHAR AS line FROM conversations WHERE role = 'user' AND text NOT LIKE '%/%'")
+@query("SELECT 'm@2021@' || conv_id::VARCHAR || '@a@' || turn::VARCHAR || '@normal' AS custom_id, to_json({'custom_id': 'm@2021@' || conv_id::VARCHAR || '@a@' || turn::VARCHAR || '@normal', 'method': 'POST', 'url': '/v1/responses', 'body': {'model': 'm', 'input': [{'role': 'system', 'content': 'sys'}, {'role': 'user', 'content': text}], 'max_output_tokens': 64}})::VARCHAR AS line FROM conversations WHERE role = 'user'")
 def batch_request(spark, sf):
-    rows = table(spark, sf, "conversations").where("role = 'user' AND text NOT LIKE '%/%'").select("conv_id", "turn", F.lit("m").alias("model"), F.col("text").alias("prompt"), F.concat(F.lit("m@2021@"), F.col("conv_id").cast("string"), F.lit("@a@b@normal")).alias("job_id"))
-    request = batch_api.request_lines(rows, "sys", 64)
-    names = request.columns
-    lines = rows.select("conv_id", "turn", F.struct(F.col("job_id").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/responses").alias("url"), F.struct("model", F.array(F.struct(F.lit("system").alias("role"), F.lit("sys").alias("content")), F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("input"), F.lit(64).alias("max_output_tokens")).alias("body")).alias("r"))
-    return lines.select("conv_id", "turn", F.to_json(F.struct(*[F.col(f"r.{n}") for n in names])).alias("line"))
+    turns = table(spark, sf, "conversations").where("role = 'user'")
+    rows = turns.select(F.lit("m").alias("model"), F.col("text").alias("prompt"), F.concat_ws("@", F.lit("m"), F.lit("2021"), "conv_id", F.lit("a"), "turn", F.lit("normal")).alias("job_id"))
+    lines = batch_api.request_lines(rows, "sys", 64)
+    return lines.select("custom_id", F.to_json(F.struct(*lines.columns)).alias("line"))
 
 
-@query("""WITH i AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), o AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
-  SELECT i.conv_id, 'gpt-5-mini-2025-08-07' AS model, 2021 AS year, (i.conv_id % 25 + 1)::INT AS day, 'Favor in-place mutation' AS code_variant, i.turn::VARCHAR AS style_variant, true AS use_comp_programming, i.text AS prompt, md5(regexp_replace(regexp_replace(o.text, '^\\s+', ''), '\\s+$', '')) AS code_md5
-  FROM i JOIN o ON i.conv_id = o.conv_id AND o.turn = i.turn + 1""")
-def batch_join(spark, sf):
+def _turns(spark, sf):
+    """The user's turns as requests and the assistant's as responses to the turn before."""
     c = table(spark, sf, "conversations")
     day = (F.col("conv_id") % 25 + 1).cast("string")
-    custom = lambda turn: F.concat_ws("-", F.lit("gpt-5-mini-2025-08-07"), F.lit("2021"), day, F.lit("Favor in-place mutation"), turn.cast("string"), F.lit("comp"), F.col("conv_id").cast("string"))
-    mine = lambda turn: F.regexp_replace(custom(turn), "-\\d+$", "")
+    custom = lambda turn: F.concat_ws("-", F.lit("gpt-5-mini-2025-08-07"), F.lit("2021"), day, F.lit("Favor in-place mutation"), F.concat_ws(" ", "conv_id", turn), F.lit("comp"))
     message = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
     texts = lambda kind: F.array(F.struct(F.lit(kind).alias("type"), F.col("text").alias("text")))
-    requests = c.where("role = 'user'").select(F.concat_ws("|", "conv_id", mine(F.col("turn"))).alias("custom_id"), F.struct(F.array(F.struct(F.lit("s").alias("content")), F.struct(F.col("text").alias("content"))).alias("input")).alias("body"))
+    asked = c.where("role = 'user'").select(F.lit("m").alias("model"), F.col("text").alias("prompt"), custom(F.col("turn")).alias("job_id"))
     output = F.struct(F.struct(F.array(message("reasoning", texts("summary")), message("message", texts("output_text"))).alias("output")).alias("body"))
-    responses = c.where("role = 'assistant'").select(F.concat_ws("|", "conv_id", mine(F.col("turn") - 1)).alias("custom_id"), output.alias("response"))
-    both = requests.join(responses, "custom_id")
-    conv, rest = F.split("custom_id", "\\|")[0].cast("long"), F.split("custom_id", "\\|")[1]
-    out = both.select(conv.alias("conv_id"), batch_api.decode_custom_id(rest).alias("job"), F.get("body.input", F.lit(1))["content"].alias("prompt"), batch_api.output_text(F.col("response.body.output")).alias("t"))
-    return out.select("conv_id", "job.*", "prompt", F.md5(text.extract_code(F.col("t"))).alias("code_md5"))
+    return batch_api.request_lines(asked, "sys", 64), c.where("role = 'assistant'").select(custom(F.col("turn") - 1).alias("custom_id"), output.alias("response"))
+
+
+@query("""WITH i AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), o AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+  SELECT 'gpt-5-mini-2025-08-07' AS model, 2021 AS year, (i.conv_id % 25 + 1)::INT AS day, 'Favor in-place mutation' AS code_variant, i.conv_id::VARCHAR || ' ' || i.turn::VARCHAR AS style_variant, true AS use_comp_programming, i.text AS prompt, md5(regexp_replace(regexp_replace(o.text, '^\\s+', ''), '\\s+$', '')) AS code_md5
+  FROM i JOIN o ON i.conv_id = o.conv_id AND o.turn = i.turn + 1""")
+def batch_join(spark, sf):
+    out = batch_api.retrieve(*_turns(spark, sf))
+    return out.select("model", "year", "day", "code_variant", "style_variant", "use_comp_programming", "prompt", F.md5("code").alias("code_md5"))
+
+
+@query("""SELECT i.text AS prompt FROM conversations i LEFT JOIN conversations o ON i.conv_id = o.conv_id AND o.turn = i.turn + 1 AND o.role = 'assistant' WHERE i.role = 'user' AND o.conv_id IS NULL""")
+def batch_unanswered(spark, sf):
+    return batch_api.unanswered(*_turns(spark, sf)).select(F.get("body.input", F.lit(1))["content"].alias("prompt"))
 
 
 @query(f"{cte('jobs_v')} SELECT model, year, day, code_variant, style_variant, use_comp_programming FROM jobs_v")
@@ -317,10 +327,13 @@ def group_shuffle_split(spark, sf):
     return splits.group_shuffle_split(view(spark, sf, "samples_v").select("id", text.group_id("problem").alias("g")), "g")
 
 
-@query()
+@query(f"""{SAMPLES.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT concat_ws('_', year, day) AS g, count(*) AS n FROM samples_v GROUP BY 1), o AS (SELECT list(n ORDER BY n DESC, md5(g), g) AS ns FROM g),
+  run(i, load, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], 0::BIGINT UNION ALL
+    SELECT i + 1, [load[j] + CASE WHEN j = list_position(load, list_min(load)) THEN ns[i + 1] ELSE 0 END FOR j IN range(1, 6)], list_position(load, list_min(load)) FROM run, o WHERE i < len(ns))
+  SELECT (fold - 1)::INT AS fold, sum(ns[i])::BIGINT AS n, count(*) AS groups FROM run, o WHERE i > 0 GROUP BY 1""")
 def group_kfold_sizes(spark, sf):
     rows = view(spark, sf, "samples_v").select("id", text.group_id("problem").alias("g"))
-    return rows.join(F.broadcast(splits.group_kfold(rows, "g")), "g").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("groups"))
+    return rows.join(splits.group_kfold(rows, "g"), "g").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("g").alias("groups"))
 
 
 _FOLD = "WITH f AS (SELECT doc_id % 5 AS fold, l.toxic AS s, l.quality AS y, (d.n_chars > 1500)::INT AS p FROM labels l JOIN documents d USING (doc_id)), c AS (SELECT fold, count(CASE WHEN y = 0 AND p = 0 THEN 1 END) AS tn, count(CASE WHEN y = 0 AND p = 1 THEN 1 END) AS fp, count(CASE WHEN y = 1 AND p = 0 THEN 1 END) AS fn, count(CASE WHEN y = 1 AND p = 1 THEN 1 END) AS tp FROM f GROUP BY 1), m AS (SELECT *, (tn + tp) / (tn + fp + fn + tp) AS a, (coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) + coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) / 2 AS f FROM c)"
@@ -363,7 +376,7 @@ def standard_scale(spark, sf):
     return z.select("l_orderkey", "l_linenumber", F.round("z_l_quantity", 5).alias("z_l_quantity"), F.round("z_l_extendedprice", 5).alias("z_l_extendedprice"))
 
 
-@query("SELECT event_id, round(CASE WHEN hi = lo THEN 0.5::DOUBLE ELSE (value - lo) / (hi - lo) END, 6) AS scaled FROM (SELECT event_id, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id))")
+@query("SELECT event_id, round(CASE WHEN hi - lo <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs(lo) THEN 0.5::DOUBLE ELSE (value - lo) / (hi - lo) END, 6) AS scaled FROM (SELECT event_id, value, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id))")
 def min_max_normalise(spark, sf):
     return features.min_max(table(spark, sf, "events").select("event_id", "user_id", "value"), "value", ["user_id"]).select("event_id", F.round("scaled", 6).alias("scaled"))
 
@@ -395,52 +408,80 @@ def validate_status(spark, sf):
     return view(spark, sf, "code_v").select("id", pycode.code_features("code").alias("f")).select("id", "f.status", "f.strict")
 
 
-@query()
+#: How often each kind of node and each token occurs in a program of code_v, counted by hand: a plain one, and one that ends in ``p = "\\d"``.
+_KINDS = "CASE expected_status WHEN 'ok' THEN [1, 1, 1, 1, 1, 1, 1, 2, 1, 3, 1, 1, 2, 1, 1] ELSE [1, 1, 1, 1, 1, 1, 1, 3, 2, 4, 2, 1, 2, 1, 1] END"
+_ENTROPY = "-list_sum(list_transform({0}, lambda x: x / list_sum({0}) * log2(x / list_sum({0}) + 1e-12::DOUBLE)))"
+_ONE = ("FunctionDef", "Import", "declarations")
+
+
+@query(f"""{CODE}, c AS (SELECT id, expected_status, {_KINDS} AS k FROM code_v WHERE expected_status <> 'syntax')
+  SELECT id, {', '.join(f"round({'1 / list_sum(k)' if n.removeprefix('ratio_') in _ONE else '0.0::DOUBLE'}, 6) AS {n}" for n in pycode.AST_FEATURES[:-2])},
+    round({_ENTROPY.format('k')}, 6) AS node_entropy, CASE expected_status WHEN 'ok' THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END AS depth_per_child FROM c""")
 def ast_features(spark, sf):
     f = view(spark, sf, "code_v").select("id", pycode.code_features("code").alias("f"))
     return f.where("f.ast IS NOT NULL").select("id", *[F.round(F.get("f.ast", F.lit(i)), 6).alias(n) for i, n in enumerate(pycode.AST_FEATURES)])
 
 
-@query()
+# names: math, f<id>, value, total, value, total (p); tokens: 4 or 5 operators, 1 or 2 strings, import, def, return, line ends, indent, comment, dedent and end
+_IDS = "[4, 1 + length(id::VARCHAR), 5, 5, 5, 5] || CASE expected_status WHEN 'ok' THEN []::BIGINT[] ELSE [1] END"
+_NAMES = "[1, 1, 2, 2] || CASE expected_status WHEN 'ok' THEN []::INT[] ELSE [1] END"
+
+
+@query(f"""{CODE}, c AS (SELECT id, {_IDS} AS s, {_NAMES} AS k, expected_status <> 'ok' AS more FROM code_v WHERE expected_status <> 'syntax'),
+  t AS (SELECT *, CASE WHEN more THEN 29 ELSE 25 END AS n, CASE WHEN more THEN [6, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1] ELSE [5, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1] END AS w FROM c)
+  SELECT id, round(len(s) / n, 6) AS identifier_ratio, round(3 / n, 6) AS keyword_ratio, round((5 + more::INT) / n, 6) AS op_ratio, round((1 + more::INT) / n, 6) AS string_ratio, round(1 / n, 6) AS number_ratio,
+    round({_ENTROPY.format('k')}, 6) AS identifier_entropy, round(list_avg(s), 6) AS identifier_mean, list_max(s)::DOUBLE AS identifier_max, round(list_var_pop(s), 6) AS identifier_variance,
+    round({_ENTROPY.format('w')}, 6) AS token_entropy, round(n / (len(s) + 1), 6) AS density FROM t""")
 def token_features(spark, sf):
     f = view(spark, sf, "code_v").select("id", pycode.code_features("code").alias("f"))
     return f.where("f.token IS NOT NULL").select("id", *[F.round(F.get("f.token", F.lit(i)), 6).alias(n) for i, n in enumerate(pycode.TOKEN_FEATURES)])
 
 
-@query(f"{CODE} SELECT id, replace(code, '# ' || p_name, repeat(' ', length(p_name) + 2)) AS code FROM code_v JOIN part ON id = p_partkey WHERE expected_status <> 'syntax'")
+_UNCOMMENTED = "CASE WHEN expected_status <> 'syntax' THEN replace(code, '# ' || p_name, repeat(' ', length(p_name) + 2)) END"
+
+
+@query(f"{CODE} SELECT id, {_UNCOMMENTED} AS code FROM code_v JOIN part ON id = p_partkey")
 def strip_comments(spark, sf):
-    return view(spark, sf, "code_v").where("expected_status <> 'syntax'").select("id", pycode.preprocess_udf(True, False, False)("code").alias("code"))
+    return view(spark, sf, "code_v").select("id", pycode.preprocess_udf(True, False, False)("code").alias("code"))
 
 
 def _rendered(doc: bool, names: bool) -> str:
-    f, v, t, p = ("v0", "v1", "v2", "v3") if names else ("'f' || id::VARCHAR", "value", "total", "p")
-    f = "'v0'" if names else f"({f})"
+    """What unparsing gives, without the docstring or with other names; null for a source that has no tree."""
+    f, v, t, p = ("'v0'", "v1", "v2", "v3") if names else ("('f' || id::VARCHAR)", "value", "total", "p")
     body = "" if doc else " || '    \"\"\"size of ' || p_brand || '\"\"\"' || chr(10)"
-    return f"{CODE} SELECT id, 'import math' || chr(10) || chr(10) || 'def ' || {f} || '({v}):' || chr(10){body} || '    {t} = {v} + ' || p_size::VARCHAR || chr(10) || '    return {t}' || CASE WHEN expected_status = 'ok' THEN '' ELSE chr(10) || '{p} = ' || chr(39) || chr(92) || chr(92) || 'd' || chr(39) END AS code FROM code_v JOIN part ON id = p_partkey WHERE expected_status <> 'syntax'"
+    return f"CASE WHEN expected_status <> 'syntax' THEN 'import math' || chr(10) || chr(10) || 'def ' || {f} || '({v}):' || chr(10){body} || '    {t} = {v} + ' || p_size::VARCHAR || chr(10) || '    return {t}' || CASE WHEN expected_status = 'ok' THEN '' ELSE chr(10) || '{p} = ' || chr(39) || chr(92) || chr(92) || 'd' || chr(39) END END"
 
 
-@query(_rendered(True, False))
+@query(f"{CODE} SELECT id, {_rendered(True, False)} AS code FROM code_v JOIN part ON id = p_partkey")
 def strip_docstrings(spark, sf):
-    return view(spark, sf, "code_v").where("expected_status <> 'syntax'").select("id", pycode.preprocess_udf(False, True, False)("code").alias("code"))
+    return view(spark, sf, "code_v").select("id", pycode.preprocess_udf(False, True, False)("code").alias("code"))
 
 
-@query(_rendered(False, True))
+@query(f"{CODE} SELECT id, {_rendered(False, True)} AS code FROM code_v JOIN part ON id = p_partkey")
 def rename_identifiers(spark, sf):
-    return view(spark, sf, "code_v").where("expected_status <> 'syntax'").select("id", pycode.preprocess_udf(False, False, True)("code").alias("code"))
+    return view(spark, sf, "code_v").select("id", pycode.preprocess_udf(False, False, True)("code").alias("code"))
 
 
-@query()
+_MATRIX = {"baseline": "code", "no_comments": _UNCOMMENTED, "no_docstrings": _rendered(True, False), "normalized_identifiers": _rendered(False, True), "fully_normalized": _rendered(True, True)}
+
+
+@query(f"{CODE} SELECT id, {', '.join(f'md5({v}) AS {k}' for k, v in _MATRIX.items())} FROM code_v JOIN part ON id = p_partkey")
 def preprocess_matrix(spark, sf):
     rows = view(spark, sf, "code_v").select("id", "code")
     return rows.select("id", *[F.md5(pycode.preprocess_udf(*flags)("code")).alias(name) for name, *flags in features.FEATURE_SETS])
 
 
+@query(f"{CODE} SELECT expected_status AS status, count(*) AS n FROM code_v WHERE expected_status = 'syntax' GROUP BY 1")
+def invalid_statuses(spark, sf):
+    return gathering.invalid_counts(view(spark, sf, "code_v").select(pycode.code_status_udf("code").alias("code_status")))
+
+
 # ---------------------------------------------------------------- learning and scoring
 def _code_samples(spark, sf):
-    """Programs of two kinds: half of them keep their comments and names, half are fully normalised."""
-    rows = view(spark, sf, "code_v").where("expected_status = 'ok'")
+    """Programs of two kinds: half of them keep their comments and names, half are fully normalised where they can be."""
+    rows = view(spark, sf, "code_v")
     human = F.col("id") % 2 == 0
-    return rows.select("id", F.when(human, F.col("code")).otherwise(pycode.preprocess_udf(True, True, True)("code")).alias("code"), F.when(human, "human").otherwise("machine").alias("label"), F.when(F.col("id") % 4 < 2, "2021").otherwise("2024").alias("year"), (F.col("id") % 25 + 1).cast("string").alias("day"), F.when(~human, "m").alias("model"), F.when(~human, "a").alias("code_variant"), F.when(~human, F.concat(F.lit("s"), (F.col("id") % 8).cast("string"))).alias("style_variant"), F.when(human, "r").alias("repo"), F.when(human, F.concat(F.lit("u"), (F.col("id") % 20).cast("string"))).alias("author"))
+    return rows.select("id", F.when(human, F.col("code")).otherwise(F.coalesce(pycode.preprocess_udf(True, True, True)("code"), "code")).alias("code"), F.when(human, "human").otherwise("machine").alias("label"), F.when(F.col("id") % 4 < 2, "2021").otherwise("2024").alias("year"), (F.col("id") % 25 + 1).cast("string").alias("day"), F.when(~human, "m").alias("model"), F.when(~human, "a").alias("code_variant"), F.when(~human, F.concat(F.lit("s"), (F.col("id") % 8).cast("string"))).alias("style_variant"), F.when(human, "r").alias("repo"), F.when(human, F.concat(F.lit("u"), (F.col("id") % 20).cast("string"))).alias("author"))
 
 
 @query()
@@ -458,13 +499,52 @@ def tfidf_ablation(spark, sf):
     return learning.tfidf_ablation(_code_samples(spark, sf), "problem")
 
 
-@query()
+#: A character-trigram model over lines in SQL: each line's perplexity, then each document's score.
+_TRIGRAM = """WITH l AS (SELECT id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id AS id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS x FROM documents)),
+  d AS (SELECT chr(2) || chr(2) || text AS t FROM documents WHERE text <> ''),
+  tri AS (SELECT substring(t, i, 2) AS c, substring(t, i + 2, 1) AS x, count(*) AS n FROM (SELECT t, unnest(range(1, length(t) - 1)) AS i FROM d) GROUP BY ALL),
+  m AS (SELECT c, x, n, sum(n) OVER (PARTITION BY c) AS m FROM tri), ctx AS (SELECT c, sum(n) AS m FROM tri GROUP BY 1),
+  u AS (SELECT id, i, substring(t, k, 2) AS c, substring(t, k + 2, 1) AS x FROM (SELECT id, i, chr(2) || chr(2) || line AS t, unnest(range(1, length(line) + 1)) AS k FROM l WHERE trim(line) <> '')),
+  loss AS (SELECT u.id, u.i, exp(-avg(ln((coalesce(m.n, 0) + 0.1::DOUBLE) / (coalesce(ctx.m, 0) + 25.6::DOUBLE)))) AS loss FROM u LEFT JOIN m USING (c, x) LEFT JOIN ctx ON u.c = ctx.c GROUP BY ALL),
+  losses AS (SELECT l.id, coalesce(loss, 0) AS loss FROM l LEFT JOIN loss USING (id, i)),
+  scores AS (SELECT id, avg(loss) + 0.5::DOUBLE * stddev_pop(loss) + 0.25::DOUBLE * max(loss) / (avg(loss) + 1e-8::DOUBLE) AS score FROM losses GROUP BY 1)"""
+
+
+@query(_TRIGRAM + " SELECT id, round(score, 6) AS score FROM scores")
 def perplexity_ngram(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     scored = scoring.code_scores(docs, scoring.TrigramScorer(docs), "text", "id")
     return scored.select("id", F.round("score", 6).alias("score"))
 
 
+_RUN_LIMITS = {"percentile": "quantile_cont(score, 0.95)", "mean_std": "avg(score) + 2 * stddev_pop(score)", "mad": "median(score) + 3 * 1.4826::DOUBLE * (SELECT median(abs(score - (SELECT median(score) FROM k))) FROM k)", "iqr": "quantile_cont(score, 0.75) + 1.5::DOUBLE * (quantile_cont(score, 0.75) - quantile_cont(score, 0.25))"}
+
+
+@query(f"""{_TRIGRAM}, samples_v AS ({SAMPLES.partition('(')[2].rpartition(')')[0]}),
+  h AS (SELECT score, row_number() OVER (ORDER BY md5(concat_ws(':', '227', id::VARCHAR)), id) <= 100 AS known FROM samples_v JOIN scores USING (id) WHERE label = 'human'), k AS (SELECT score FROM h WHERE known),
+  lim AS ({' UNION ALL '.join(f"SELECT '{n}' AS strategy, {t} AS t FROM k" for n, t in _RUN_LIMITS.items())}),
+  mine AS (SELECT CASE WHEN use_comp_programming THEN 'comp' ELSE 'normal' END AS dataset, score FROM samples_v JOIN scores USING (id) WHERE label <> 'human'),
+  r AS (SELECT dataset, score, 1 AS y FROM mine UNION ALL SELECT dataset, score, 0 FROM h, (SELECT DISTINCT dataset FROM mine) WHERE NOT known),
+  ranks AS (SELECT dataset, y, rank() OVER (PARTITION BY dataset ORDER BY score) + (count(*) OVER (PARTITION BY dataset, score) - 1) / 2 AS k FROM r),
+  areas AS (SELECT dataset, (sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auroc FROM ranks GROUP BY 1),
+  c AS (SELECT dataset, strategy, t, count(*) FILTER (y = 0 AND score <= t) AS tn, count(*) FILTER (y = 0 AND score > t) AS fp, count(*) FILTER (y = 1 AND score <= t) AS fn, count(*) FILTER (y = 1 AND score > t) AS tp FROM r, lim GROUP BY ALL)
+  SELECT dataset, strategy, round(t, 6) AS threshold, tn, fp, fn, tp, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1_1, round(auroc, 6) AS auroc FROM c JOIN areas USING (dataset)""")
+def perplexity_run(spark, sf):
+    samples = view(spark, sf, "samples_v")
+    machine = samples.where("label <> 'human'").withColumn("dataset", F.when(F.col("use_comp_programming"), "comp").otherwise("normal"))
+    scorer = scoring.TrigramScorer(table(spark, sf, "documents"))
+    run = scoring.perplexity_run(samples.where("label = 'human'"), machine, scorer, "trigram", n=100)
+    return run.select("dataset", "strategy", *[F.round(c, 6).alias(c) for c in ("threshold", "accuracy", "f1_1", "auroc")], "tn", "fp", "fn", "tp")
+
+
+@query(_TRIGRAM + """, u2 AS (SELECT doc_id AS id, chr(2) || chr(2) || text AS t, unnest(range(1, length(text) + 1)) AS k FROM documents WHERE trim(text, chr(32) || chr(10) || chr(9) || chr(13)) <> ''),
+  nll AS (SELECT id, -avg(ln((coalesce(m.n, 0) + 0.1::DOUBLE) / (coalesce(ctx.m, 0) + 25.6::DOUBLE))) AS nll FROM (SELECT id, substring(t, k, 2) AS c, substring(t, k + 2, 1) AS x FROM u2) u LEFT JOIN m USING (c, x) LEFT JOIN ctx ON u.c = ctx.c GROUP BY 1)
+  SELECT doc_id AS id, round(coalesce(nll, 0), 6) AS nll FROM documents LEFT JOIN nll ON doc_id = id""")
+def text_nll(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return scoring.code_nll(docs, scoring.TrigramScorer(docs), "text", "id").select("id", F.round("nll", 6).alias("nll"))
+
+
 @query()
 def perturb_detect(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
