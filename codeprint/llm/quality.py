@@ -18,6 +18,8 @@ PUNCTUATION = np.array([c for c in range(33, 127) if not chr(c).isalnum()])
 #: Features of a text's surface, and buckets of its lower-cased words' hashes.
 SURFACE, BUCKETS = len(PUNCTUATION) + 17, 128
 N_FEATURES = SURFACE + BUCKETS
+#: What a word's bucket weighs against a feature of the surface: there are many, each of little use.
+BUCKET_SCALE = 0.1
 #: The confidence that best bin estimation of the prior uses.
 DELTA, GAMMA = 0.1, 0.01
 
@@ -122,7 +124,9 @@ class NonNegativePU:
         return self
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+        out = np.clip((x - self.mean) / self.scale, -8, 8)
+        out[:, SURFACE:] *= BUCKET_SCALE
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         g = np.tanh(self._scaled(x) @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3][0]
