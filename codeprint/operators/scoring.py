@@ -14,6 +14,7 @@ from codeprint.functions.text import LINE_ENDS, informative, strip
 from codeprint.operators.metrics import auroc, binary_report, classify, confusion, thresholds
 from codeprint.operators.perturbed import TIE, TrigramTable, counted_trigrams, probabilities
 from codeprint.operators.splits import calibration_split
+from codeprint.scratch import materialize
 
 MASK_RATE, TOP_P, SAMPLES, THRESHOLD, CALIBRATION = 0.05, 0.1, 30, 0.97, 300
 #: Up to so many trigrams, or tokens to fill in, a model is sent to the executors; beyond, copies are scored by shuffle joins.
@@ -93,10 +94,10 @@ def perplexity_run(human: DataFrame, machine: DataFrame, scorer: Scorer, model:
 
     Thresholds come from the scores of ``n`` human samples; all others are judged with each set of machine samples."""
     known = calibration_split(human.select(key, text), key, n)
-    scored = code_scores(known, scorer, text, key).join(known.select(key, "is_calibration"), key)
+    scored = materialize(code_scores(known, scorer, text, key).join(known.select(key, "is_calibration"), key), "scores")
     limits = thresholds(scored.where("is_calibration"), "score")
-    sets = machine.select("dataset").distinct()  # one row a data set
-    own = code_scores(machine, scorer, text, "dataset", key).select("dataset", "score", F.lit(1).alias("y"))
+    own = materialize(code_scores(machine, scorer, text, "dataset", key).select("dataset", "score", F.lit(1).alias("y")), "scores")
+    sets = own.select("dataset").distinct()  # one row a data set
     others = scored.where("NOT is_calibration").crossJoin(F.broadcast(sets)).select("dataset", "score", F.lit(0).alias("y"))
     rows = own.unionByName(others)
     report = binary_report(confusion(classify(rows, limits), "y", "predicted", ["dataset", "strategy", "threshold"]))

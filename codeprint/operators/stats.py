@@ -39,3 +39,11 @@ def ablation_runs(log: DataFrame) -> DataFrame:
         "group_mode", F.coalesce("r.ablation", "r.name", "r.tfidf_set").alias("name"), F.coalesce("r.summary.accuracy_mean", "r.accuracy").alias("accuracy"), F.col("r.summary.accuracy_std").alias("accuracy_std"),
         F.coalesce("r.summary.f1_mean", "r.f1_macro").alias("f1_macro"), F.col("r.summary.f1_std").alias("f1_std"), F.coalesce("r.summary.confusion_matrix_sum", "r.confusion_matrix").alias("confusion_matrix"),
     )
+
+
+def ablation_report(log: DataFrame) -> DataFrame:
+    """One text ``report`` of each run of an ablation log."""
+    rows = ablation_runs(log)
+    form = "  Ablation: %s\n    Accuracy: %.4f ± %.4f\n    F1 Score: %.4f ± %.4f\n    Confusion Matrix Sum: %s"
+    std = lambda c: F.coalesce(c, F.lit(0.0))
+    return rows.select("name", F.format_string(form, "name", "accuracy", std("accuracy_std"), "f1_macro", std("f1_std"), F.to_json("confusion_matrix")).alias("report"))

@@ -77,3 +77,13 @@ def batch_requests(spark: SparkSession, path: str) -> DataFrame:
 
 def batch_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BATCH_RESPONSE).json(path)
+
+
+def secret(path: str, name: str) -> str | None:
+    """The value of a ``name=value`` line of a local file; None without the line or the file."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            lines = [line.strip().removeprefix("export ").partition("=") for line in f if not line.lstrip().startswith("#")]
+    except FileNotFoundError:
+        return None
+    return next((value.strip().strip("'\"") for key, _, value in reversed(lines) if key.strip() == name), None) or None

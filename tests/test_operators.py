@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeprint.operators import batch_api, jobs, metrics, splits, stats, tfidf
 from codeprint.sources import readers, sinks
-from codeprint.streaming.incremental import ingest_available
+from codeprint.streaming.incremental import ingest_available, windowed_counts
 
 
 def test_report_golden(spark):
@@ -70,3 +71,17 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     for _ in range(2):
         ingest_available(spark, land, out, state).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_windows_on_a_stream_leave_out_late_rows(spark, tmp_path):
+    files = [[("2024-01-01T00:10:00Z", 1.0), ("2024-01-01T00:20:00Z", 2.0)], [("2024-01-01T05:30:00Z", 4.0)], [("2024-01-01T05:40:00Z", 0.5)], [("2024-01-01T00:40:00Z", 8.0)], [("2024-01-01T09:00:00Z", 16.0)], [("2024-01-01T09:10:00Z", 32.0)]]
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(files):
+        path = tmp_path / "in" / f"{i}.json"
+        path.write_text("\n".join(json.dumps({"ts": t, "event_type": "a", "value": v}) for t, v in rows))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    got = sorted((str(r["start"]), r["event_type"], r["n"], r["total"]) for r in spark.table("windows").collect())
+    assert got == [("2024-01-01 00:00:00", "a", 2, 3.0), ("2024-01-01 05:00:00", "a", 2, 4.5)]

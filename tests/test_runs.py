@@ -12,7 +12,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from codeprint import schemas
+from codeprint import cli, schemas
 from codeprint.operators import batch_api, gathering, generation, jobs, learning, scoring
 from codeprint.plans import catalogue
 from codeprint.scratch import clear_scratch, materialize
@@ -200,7 +200,7 @@ def test_scratch_can_be_cleared(spark):
         rows.count()
 
 
-def test_ablation_logs(spark, tmp_path, monkeypatch):
+def test_ablation_logs(spark, tmp_path, monkeypatch, capsys):
     def one_row(rows, spec, tfidf):
         return spark.createDataFrame([(1, 2, 3, 4, 0.5, 0.25)], "tn long, fp long, fn long, tp long, accuracy double, f1_macro double")
 
@@ -213,6 +213,26 @@ def test_ablation_logs(spark, tmp_path, monkeypatch):
     assert (log["group_mode"], log["n_splits"], len(log["ablation_runs"])) == ("problem", 3, 7)
     run = log["ablation_runs"][0]
     assert [f["fold"] for f in run["folds"]] == [0, 1, 2] and run["summary"]["confusion_matrix_sum"] == [[3, 6], [9, 12]]
+    capsys.readouterr()
+    cli.main(["analyse", str(tmp_path / "out")])
+    said = capsys.readouterr().out
+    assert said.startswith("Results for normal_samples - problem:\n  Ablation: ast_only\n    Accuracy: 0.5000 ± 0.0000\n    F1 Score: 0.2500 ± 0.0000\n    Confusion Matrix Sum: [[3,6],[9,12]]") and said.count("Ablation:") == 7
+
+
+def test_perplexity_reports(spark, tmp_path):
+    rows = [{"code": f"x = {i}\nprint(x)", "label": "human", "repo": "r"} for i in range(310)]
+    (tmp_path / "human.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "normal.jsonl").write_text("\n".join(json.dumps({"code": f"zzz{i} " * 9, "label": "machine"}) for i in range(8)))
+    cli.main(["perplexity", str(tmp_path / "human.jsonl"), str(tmp_path / "normal.jsonl"), "--out", str(tmp_path / "reports")])
+    reports = [r["value"] for r in spark.read.text(str(tmp_path / "reports"), lineSep="\n\n").collect()]
+    assert sum(r.strip().startswith("Model: trigram\nDataset: normal.jsonl\nThreshold: ") for r in reports) == 4
+    assert all("Confusion Matrix: [[" in r for r in reports if r.strip())
+
+
+def test_secrets(tmp_path):
+    (tmp_path / ".env").write_text("# A=0\nA=1\nexport GITHUB_TOKEN='t=1'\nA = 2\n")
+    path = str(tmp_path / ".env")
+    assert [readers.secret(path, n) for n in ("A", "GITHUB_TOKEN", "B")] == ["2", "t=1", None] and readers.secret(str(tmp_path / "no"), "A") is None
 
 
 def test_nll_is_the_mean_over_the_text(spark):
