@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from codeprint.llm.common import bounded
+
 END = "\0"  # stands for the end-of-word mark behind a word's last symbol; the byte alphabet doesn't hold it
 #: Fixed values of the tokenizer: its end-of-word mark and its pattern.
 SUFFIX = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of the words and of the states that a codec keeps, roughly; of one state; of a word besides its characters.
+CACHE_BYTES, KEPT_STATES, STATE_BYTES, WORD_BYTES = 20 << 20, 28 << 20, 180, 220
+#: Words that are cut from texts before they are looked up together.
+CUT_WORDS = 100_000
 #: The first code point from which Unicode tables of different age may disagree.
 NEWER = "\u0860"
 
@@ -37,36 +43,41 @@ def byte_alphabet() -> list[str]:
 
 
 class TrieBpe:
-    """Encoder and decoder of a word BPE vocabulary.  ``limit`` bounds the words kept between batches."""
+    """Encoder and decoder of a word BPE vocabulary.
+
+    ``limit`` bounds the bytes of the words kept between batches; beyond it, those that the texts at
+    hand don't use are forgotten.  Beyond KEPT_STATES all states are.  Both are then found anew."""
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = CACHE_BYTES, tables: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        inner = lambda t: t.removesuffix(SUFFIX) + END if t.endswith(SUFFIX) else t
         model = spec["model"]
+        special = [a["content"] for a in spec["added_tokens"]]
+        self.bytes, self.limit, self.held, self.states = byte_alphabet(), limit, 0, 0
+        self.follows: dict[str | None, dict[str, bool]] = {}
+        self.words = {" " + a["content"]: str(a["id"]) for a in spec["added_tokens"]}
+        self.fixed = dict(self.words)
+        self.pattern = regex.compile(PATTERN)
+        library = Tokenizer.from_file(path)
+        self.library = (library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str)
+        self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.names = {str(i): t for t, i in model["vocab"].items()} | {str(a["id"]): a["content"] for a in spec["added_tokens"]}
+        if not tables:  # the rest is the trie's
+            return
+        inner = lambda t: t.removesuffix(SUFFIX) + END if t.endswith(SUFFIX) else t
         self.ids = {inner(t): i for t, i in model["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(inner(a), inner(b)): r for r, (a, b) in enumerate(pairs)}
-        special = [a["content"] for a in spec["added_tokens"]]
         tails: dict[str, set[int]] = {}
         for t in self.ids:
             if len(t) > 2:
                 tails.setdefault(t[-3:], set()).add(len(t))
         #: The lengths, longest first, of the tokens of three or more symbols that end in these three.
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
-        self.bytes, self.limit = byte_alphabet(), limit
-        self.follows: dict[str | None, dict[str, bool]] = {}
-        self.words = {" " + a["content"]: str(a["id"]) for a in spec["added_tokens"]}
-        self.fixed = dict(self.words)
-        self.pattern = regex.compile(PATTERN)
-        self.rank, self.halves = {}, {}
-        for (a, b), r in self.merges.items():
-            self.rank.setdefault(a + b, r)
-            self.halves.setdefault(a + b, (a, b))
-        library = Tokenizer.from_file(path)
-        self.library = (library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str)
-        self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
+        #: The merge that makes a token first: its rank and its two parts.
+        self.made: dict[str, tuple[int, tuple[str, str]]] = {}
+        for pair, r in self.merges.items():
+            self.made.setdefault("".join(pair), (r, pair))
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE of a short string: merge the pair of lowest rank, leftmost first."""
@@ -84,20 +95,21 @@ class TrieBpe:
         known = self.follows.setdefault(last, {})
         if (ok := known.get(token)) is None:
             ok = known[token] = self.merged(token) == [token] if last is None else self.stay_apart(last, token)
+            self.states += STATE_BYTES
         return ok
 
     def stay_apart(self, left: str, right: str) -> bool:
         """Whether BPE keeps these tokens side by side: undo their merges, latest first; no pair that
         meets at the border may merge before its parts are taken up by their own tokens."""
-        limit, rank = 1 << 60, self.rank
+        limit, made, whole = 1 << 60, self.made, (-1, ("", ""))
         while True:
             if self.merges.get((left, right), limit) < limit:
                 return False
-            a, b = rank.get(left, -1), rank.get(right, -1)
+            (a, of_left), (b, of_right) = made.get(left, whole), made.get(right, whole)
             if a > b:
-                limit, left = a, self.halves[left][1]
+                limit, left = a, of_left[1]
             elif b >= 0:
-                limit, right = b + 1, self.halves[right][0]
+                limit, right = b + 1, of_right[0]
             else:
                 return True
 
@@ -157,14 +169,17 @@ class TrieBpe:
 
     def learn(self, words: set[str]) -> None:
         """Make the encodings of these words known."""
+        if self.held > self.limit:
+            self.words = self.fixed | {w: self.words[w] for w in words if w in self.words}
+            self.held = sum(len(w) + len(ids) + WORD_BYTES for w, ids in self.words.items())
+        if self.states > KEPT_STATES:
+            self.follows, self.states = {}, 0
         new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > self.limit:
-            self.words = dict(self.fixed)
-            new = [w for w in words if w not in self.fixed]
         b = self.bytes
         mapped = {w if w.isascii() and w.isprintable() else "".join([b[x] for x in w.encode("utf-8", "surrogateescape")]): w for w in new}
         for word, ids in self.encode_words(list(mapped)):
             self.words[mapped[word]] = ids
+            self.held += len(word) + len(ids) + WORD_BYTES
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """For each text: its ids as decimals and its decoded tokens, joined by blanks, and the count."""
@@ -180,7 +195,7 @@ class TrieBpe:
         for i, text in enumerate(texts):
             cut.append(self.pieces(text) if text else [])
             size += len(cut[-1])
-            if size > 500_000 or i == len(texts) - 1:
+            if size > CUT_WORDS or i == len(texts) - 1:
                 self.learn({w for words in cut for w in words})
                 known = self.words
                 for words in cut:
@@ -198,8 +213,8 @@ class TrieBpe:
 class LibraryBpe(TrieBpe):
     """The same words and ids; the tokenizers library's model encodes each new word by itself."""
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
-        super().__init__(path, limit)
+    def __init__(self, path: str, limit: int = CACHE_BYTES) -> None:
+        super().__init__(path, limit, tables=False)
         self.model = Tokenizer.from_file(path).model
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, str]]:
@@ -221,7 +236,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """id, ids array<int>, decoded string of every row.  Null is the empty text: no ids, empty string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             got = list(codec(path).encode_batch(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(map(int, g[0].split())) for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.string())], [id_col, "ids", "decoded"])
 
@@ -232,7 +247,7 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """id, n_tokens, ids_sha256, decoded_sha256 of every row; the digests are taken where the ids are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             n, a, b = [], [], []
             for ids, text, k in codec(path).encode_batch(batch.column(1).to_pylist()):
                 n.append(k)

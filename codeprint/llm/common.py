@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeprint.scratch import materialize, scratch_root  # noqa: F401
+
 #: Rows and bytes of one Arrow batch (a single longer row is a batch of its own), and the bytes of
 #: text that a worker takes at once.
-ARROW_ROWS, ARROW_BYTES, TEXT_BYTES = 1000, 4 << 20, 1 << 20
+ARROW_ROWS, ARROW_BYTES, TEXT_BYTES = 1000, 2 << 20, 1 << 19
 #: A side is broadcast only after a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 
-_own_root: list[str] = []
-
 
 def prepare(spark: SparkSession) -> None:
     """Lower the bounds of Arrow batches, unless they are lower already."""
@@ -42,31 +39,14 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
             to = max(int(np.searchsorted(ends, done + TEXT_BYTES, side="right")), at + 1)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Where it is unset, a temporary one serves a local session (tests); on a cluster that is an error,
-    as executors don't share their disks."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="codeprint-"))
-        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
-    return _own_root[0]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage without depending on any executor, and computes the rows once."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/codeprint-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def give_back() -> None:
+    """Hand freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

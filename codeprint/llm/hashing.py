@@ -16,7 +16,7 @@ MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _BYTES = np.arange(1, 257, dtype=np.uint64)
 _BYTES[_BLANK] = 0
 #: Bytes hashed at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def place_factors(n: int, seed: int) -> np.ndarray:
     """A pseudo-random factor for each place in a word; no factor follows from another."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP + np.uint64(seed * 0xD1B54A32D192ED03 & (1 << 64) - 1))
 
 
 def word_hashes(column: pa.Array, lower: bool = False, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:

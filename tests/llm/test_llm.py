@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -74,6 +75,57 @@ def test_exact(docs, empty):
     got = {r["doc_id"]: r for r in exact.exact_duplicates(docs, keep="max").collect()}
     assert {i: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for i, r in got.items()} == {i: (max(groups[t]), len(groups[t]), max(groups[t]) == i, hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
     assert exact.drop_exact_duplicates(docs).count() == len(groups) and exact.exact_duplicates(empty).isEmpty()
+    assert {i: (r["keep_id"], r["group_size"]) for i, r in ((r["doc_id"], r) for r in exact.exact_duplicates(docs, keep="max", broadcast_rows=0).collect())} == {i: (max(groups[t]), len(groups[t])) for i, t in texts.items()}
+
+
+def test_exact_compares_bytes_where_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(exact, "content_hash", lambda t: F.unhex(F.md5(F.substring(t, 1, 1))))
+    rows = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "ab"), (4, None), (5, ""), (6, "b"), (None, "ac"), (7, "ad")], "doc_id long, text string")
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_duplicates(rows).collect()}
+    assert got == {(1, 1, 2, True), (3, 1, 2, False), (2, 2, 2, True), (None, 2, 2, False), (4, 4, 2, True), (5, 4, 2, False), (6, 6, 1, True), (7, 7, 1, True)}
+
+
+REPEATED = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "p q r s t u", "x"), (2, "a b c d e f", "z"), (None, "a b c d e f", "n"), (None, "k l m n o p", "n"), (None, "k l m n o p", "n"), (3, None, "x"), (3, None, "x"), (4, "A b c d e f", "w")]
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark):
+    rows = spark.createDataFrame(REPEATED, "doc_id long, text string, `a.b` string")
+    left = exact.drop_exact_duplicates(rows)
+    assert left.columns == rows.columns
+    assert sorted((str(r[0]), str(r[1])) for r in left.collect()) == sorted([("1", "a b c d e f"), ("1", "p q r s t u"), ("None", "k l m n o p"), ("3", "None"), ("4", "A b c d e f")])
+    one = ngram_join.keep_one_of_each(rows)
+    assert one.columns == rows.columns
+    got = sorted((str(r[0]), str(r[1]).lower()) for r in one.collect())
+    # a null id comes first, so it stays for the six words that are equal but for case
+    assert got == sorted([("None", "a b c d e f"), ("1", "p q r s t u"), ("None", "k l m n o p"), ("3", "none")])
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_words_of_thue_morse_form_do_not_collide(spark):
+    import pyarrow as pa
+
+    from codeprint.llm.hashing import word_hashes
+
+    x, y = ("".join("ab"[b ^ flip] for b in thue_morse(2048)) for flip in (0, 1))
+    hashes, _ = word_hashes(pa.array([f"{x} {y} {x}", "a\0 a", y]))
+    assert len(set(hashes.tolist())) == 4 and hashes[0] == hashes[2] and hashes[1] == hashes[5]
+    texts = [f"{x}-pattern", f"{y}-pattern", " ".join(f"{x}{i}" for i in range(60)), " ".join(f"{y}{i}" for i in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicate_documents(rows, 3, 90).collect()} == {i: i for i in range(4)}
+    assert {r["n_removed"] for r in substring.remove_repeated_spans(rows, 50).collect()} == {0}
+
+
+def test_hash_collisions_make_no_link_and_remove_nothing(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(120)), " ".join(f"v{i}" for i in range(120)), " ".join(f"w{i}" for i in range(120))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blind = lambda column, lower=False, seed=1: (np.concatenate([np.arange(len((t or "").split()), dtype=np.uint64) for t in column.to_pylist()]), np.cumsum([0, *(len((t if isinstance(t, str) else (t or b"").decode()).split()) for t in column.to_pylist())]))
+    monkeypatch.setattr(substring, "word_hashes", blind)
+    monkeypatch.setattr(ngram_join, "word_hashes", blind)
+    links = ngram_join._linked(spark.createDataFrame([((0, ngram_join.md5(texts[0].encode()).digest()), (1, ngram_join.md5(texts[1].encode()).digest()))], "a struct<_id:long,m:binary>, b struct<_id:long,m:binary>"), ngram_join._described(rows, 3, 90, "doc_id", "text"), rows, 3, 90, "doc_id", "text")
+    assert links.isEmpty()
 
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
@@ -88,7 +140,8 @@ def test_ngram_join(docs, empty, words, percent):
     assert ngram_join.near_duplicate_documents(empty).isEmpty()
 
 
-def test_substring(docs, empty):
+@pytest.mark.parametrize("bitmap_keys", [1 << 22, 0])
+def test_substring(docs, empty, bitmap_keys):
     texts = {r["doc_id"]: WORD.findall(r["text"] or "") for r in docs.collect()}
     first = {}
     for i in sorted(texts):
@@ -99,7 +152,7 @@ def test_substring(docs, empty):
         gone = {j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(k, k + 50)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         want[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
-    got = substring.remove_repeated_spans(docs, 50, with_text=True).collect()
+    got = substring.remove_repeated_spans(docs, 50, with_text=True, bitmap_keys=bitmap_keys).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in got} == want
     assert sum(w[1] for w in want.values()) > 100 and substring.remove_repeated_spans(empty).isEmpty()
 
@@ -118,6 +171,28 @@ def test_embeddings(spark):
     assert all((got[i]["n_links"], got[i]["component_id"]) == (0, i) for i in range(900, 906))
 
 
+def test_embeddings_of_an_empty_table_and_odd_ids(spark):
+    kind = "vec_id long, embedding array<float>, n_links string"
+    assert embedding_join.near_duplicate_vectors(spark.createDataFrame([], kind)).isEmpty()
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (None, a, "x"), (7, a, "x"), (9, b, "x"), (11, None, None)], kind)
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_join.near_duplicate_vectors(rows).collect())
+    assert got == sorted([("5", 1, "5", True), ("5", 1, "5", True), ("None", 0, "None", True), ("7", 1, "5", False), ("9", 1, "5", False), ("11", 0, "11", True)])
+
+
+def test_embeddings_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(700, 64))
+    x = np.concatenate([rng.normal(size=(4000, 64)), np.repeat(centres, 5, axis=0) + 0.13 * rng.normal(size=(3500, 64)), centres[0] + 0.1 * rng.normal(size=(800, 64))]).astype(np.float32)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    part = merged(range(len(x)), zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True))
+    assert linked.sum() > 100_000 and got == {i: (int(linked[i].sum()), part[i]) for i in range(len(x))}
+
+
 def test_pigeonhole_tiles_find_each_pair_once():
     rng = np.random.default_rng(4)
     x = embedding_join.rotated(np.repeat(rng.normal(size=(30, 64)), 5, axis=0) + 0.1 * rng.normal(size=(150, 64)))
@@ -137,7 +212,7 @@ def test_bpe(docs, empty):
     for text, (ids, decoded, n) in zip(odd, mine.encode_batch(odd), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert ids == " ".join(map(str, want)) and n == len(want) and decoded == library.decode(want, skip_special_tokens=False) == mine.decode(want)
-    small = bpe.TrieBpe(vocabulary(), limit=5)
+    small = bpe.TrieBpe(vocabulary(), limit=1000)
     assert [small.encode(t) for t in odd[:20]] == [mine.encode(t) for t in odd[:20]]
     got = {r["doc_id"]: r for r in bpe.digest_documents(docs, vocabulary()).collect()}
     for r in docs.collect():
@@ -161,6 +236,8 @@ def test_packing(docs, empty):
             free.append(64 - sizes[i])
             naive.append([i])
     assert len(rows) == len(naive) and all(sum(sizes[i] for i in r) <= 64 for r in rows)
+    shape = lambda packed: sorted(sorted(sizes[i] for i in r) for r in packed)
+    assert sorted(map(sum, shape(rows))) == sorted(map(sum, shape(naive))) and max(len(r) for r in rows) == max(len(r) for r in naive)
     back = defaultdict(dict)
     for r in packing.pack_documents(docs, vocabulary(), length=128).collect():
         assert len(r["ids"]) == len(r["position_ids"]) == 128
@@ -172,15 +249,63 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, vocabulary()).isEmpty()
 
 
-def test_sharding(docs, empty):
+def test_sharding(docs, empty, tmp_path):
     rows = sharding.shard_documents(docs, n_shards=5).collect()
     per = defaultdict(list)
     for r in rows:
         per[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in per.values()) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
     assert rows and all(r["law"] == "rows" and r["grown_shard"] is None for r in rows) and sharding.shard_documents(empty).isEmpty()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+    again = sharding.shard_documents(docs.repartition(7, "text"), n_shards=5).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in again} == {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
+    plain = docs.select("doc_id", "text")
+    sharding.write_shards(plain, str(tmp_path / "shards"), n_shards=5)
+    back = docs.sparkSession.read.parquet(str(tmp_path / "shards"))
+    assert {(r["doc_id"], r["text"]) for r in back.collect()} == {(r["doc_id"], r["text"]) for r in plain.collect()} and back.count() == plain.count()
+    assert {n for (n,) in back.groupBy("shard").count().select("count").collect()} <= {len(texts) // 5, len(texts) // 5 + 1}
+
+
+def test_sharding_of_rows_without_ids(spark):
+    rows = spark.createDataFrame([(None, str(i % 40)) for i in range(200)] + [(7, "x")] * 20, "doc_id long, text string")
+    got = sharding.shard_documents(rows, n_shards=3).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert {k: sorted(v) for k, v in per.items()} == {0: list(range(74)), 1: list(range(73)), 2: list(range(73))}
+
+
+def test_communication_matrix_of_any_size():
     matrix = sharding.communication_matrix([7, 0, 20, 13], [14, 13, 13], 1)
     assert matrix.sum(axis=1).tolist() == [7, 0, 20, 13] and matrix.sum(axis=0).tolist() == [14, 13, 13]
+    blocks, shards = [10**10 + i for i in range(12)], [0] * 24
+    for i in range(24):
+        shards[i] = sum(blocks) // 24 + (i < sum(blocks) % 24)
+    big = sharding.communication_matrix(blocks, shards, 1)
+    assert big.sum(axis=1).tolist() == blocks and big.sum(axis=0).tolist() == shards
+    mean = np.outer(np.array(blocks, float), np.array(shards, float)) / sum(blocks)
+    z = (big - mean) / np.sqrt(mean * (1 - 1 / 24) * (1 - 1 / 12))
+    assert 0.9 < z.std() < 1.1 and abs(z).max() < 5
+
+
+def test_own_hypergeometric_draws_have_numpys_law(monkeypatch):
+    monkeypatch.setattr(sharding, "SMALL_POPULATION", 0)
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((30, 50, 20), (5, 400, 60), (1000, 3, 500), (4, 4, 8), (9, 0, 3)):
+        own = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        ref = rng.hypergeometric(good, bad, n, 4000)
+        assert own.min() >= max(0, n - bad) and own.max() <= min(n, good)
+        assert abs(own.mean() - ref.mean()) <= 5 * (ref.std() + 1e-9) / 4000**0.5 * 2 and abs(own.std() - ref.std()) <= 0.1 * ref.std() + 1e-9
+
+
+def test_every_place_is_as_likely(spark):
+    rows = spark.range(24).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("x"))
+    found = np.zeros((24, 4))
+    for seed in range(12):
+        for r in sharding.shuffle_into_shards(rows, "doc_id", 4, seed).select("doc_id", "shard").toArrow().to_pylist():
+            found[r["doc_id"], r["shard"]] += 1
+    assert ((found - 3) ** 2 / 3).sum() < 24 * 3 + 4 * (2 * 72) ** 0.5
 
 
 @pytest.mark.parametrize("parts", [{"a": 1}, {"a": 8, "b": 3, "c": 2, "d": 4}, {f"s{i}": 1 + i % 5 for i in range(13)}])
@@ -194,6 +319,8 @@ def test_pfair_keeps_within_one_block(parts):
 def test_mixing(docs, empty):
     rows = sorted(mixing.mix_sources(docs, {"src0": 3, "src1": 1}, 2, 4).collect(), key=lambda r: r["position"])
     assert [r["position"] for r in rows] == list(range(docs.count())) and all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, {"*": 3}).count()
     assert [r["slot"] for r in rows] == sorted(r["slot"] for r in rows) and mixing.mix_sources(empty, {"src0": 1}).isEmpty()
 
 
@@ -208,6 +335,66 @@ def test_language(spark, empty):
     assert langid.predict_language(empty, langid.fit_profiles(empty, F.lit(True))).isEmpty()
 
 
+def out_of_place(text, profiles, size):
+    """Brute force: n-grams as strings, ranks as dictionaries."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    grams = Counter(g for w in words for p in [f" {w} "] for n in (1, 2, 3) for g in (p[i : i + n] for i in range(len(p) - n + 1)) if g != " ")
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    own = [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+    if not own:
+        return "und", 0.0
+    far = {k: sum(abs(p.index(code(g)) - i) if code(g) in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (size * len(own))
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(13)
+    say = lambda a, k: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(1, 9))) for _ in range(k))
+    texts = [say("abcdeé", 40), say("xyzß日", 60), say("abxy", 3), "A", "!?", None, say("abcdexyz", 9000), "é" * 3000]
+    rows = spark.createDataFrame([(i, t, l, "c") for i, (t, l) in enumerate(zip([*texts, *texts], ["one", "two", None, None] * 4, strict=True))], "doc_id long, text string, lang string, lang_pred string")
+    profiles = langid.fit_profiles(rows, F.lit(True), size=50)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict_language(rows, profiles, size=50).collect()}
+    for i, t in enumerate([*texts, *texts]):
+        want = out_of_place(t, profiles, 50)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1]), t
+    twins = {"b": profiles["one"], "a": profiles["one"]}  # ties go by name
+    assert {r["lang_pred"] for r in langid.predict_language(rows.where("text = 'A'"), twins, size=50).collect()} == {"a"}
+
+
+def test_without_profiles_only_texts_without_letters_go(spark):
+    rows = spark.createDataFrame([(1, "hello", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in langid.keep_identified(rows).collect()] == [(1, "hello", None)]
+
+
+def test_risk_gradient_against_finite_differences():
+    rng = np.random.default_rng(1)
+    x, is_pos = rng.normal(size=(60, 7)), np.arange(60) < 25
+    for prior in (None, 0.3, 0.99):
+        net = quality.NonNegativePU(prior, hidden=4)
+        net.start(x)
+        for shift in (0.0, -3.0):  # with and without a negative second term
+            net.w[3] = np.array([shift])
+            _, grads = net.objective(x, is_pos)
+            for w, grad in zip(net.w, grads, strict=True):
+                for at in np.ndindex(w.shape):
+                    kept = w[at]
+                    w[at] = kept + 1e-6
+                    up = net.objective(x, is_pos)[0]
+                    w[at] = kept - 1e-6
+                    down = net.objective(x, is_pos)[0]
+                    w[at] = kept
+                    assert grad[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.9])
+def test_prior_is_estimated_from_unlabelled_rows(prior):
+    rng = np.random.default_rng(int(prior * 100))
+    pos = rng.normal(1, 0.7, (1500, 5))
+    unl = np.where(rng.random(3000)[:, None] < prior, rng.normal(1, 0.7, (3000, 5)), rng.normal(-1, 0.7, (3000, 5)))
+    assert abs(quality.estimated_prior(pos, unl) - prior) < 0.08
+
+
 def test_quality(spark, empty):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["we", "went", "home", "again", "quietly"]) for _ in range(40)) + "."
