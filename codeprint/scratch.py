@@ -40,11 +40,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Remove what this process has written so far; results that still read it are void.  The number of folders."""
-    n = len(_written)
-    for path in _written:
+def written() -> int:
+    """How many folders this process has written and not removed."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Remove the folders numbered from ``first`` up to, but without, ``last``; results that still read them are void.  Their number."""
+    gone = _written[first:last]
+    for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _written.clear()
-    return n
+    del _written[first:last]
+    return len(gone)

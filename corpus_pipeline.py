@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeprint.llm import bpe, exact, langid, mixing, ngram_join
-from codeprint.llm.common import dataset, materialize, prepare
+from codeprint.llm.common import dataset, prepare
 from codeprint.llm.queries import BLOCK_ROWS, WEIGHTS, vocabulary
+from codeprint.scratch import clear_scratch, materialize, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id stays."""
+    """Of equal texts, the document with the smallest id stays; of rows that repeat id and text, one."""
     return exact.drop_exact_duplicates(docs)
 
 
@@ -44,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dataset(spark, sf_dir, "documents")
+    """The last stage's rows.  What a stage wrote on its way, and its input, go once its result is written."""
+    docs, before = dataset(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+        clear_scratch(spark, before, written() - 1)
     return docs
