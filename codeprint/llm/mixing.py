@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeprint.llm.common import ranked
+from codeprint.llm.common import materialize, maybe_broadcast, ranked
 
 #: The pool of all sources that have no weight of their own (null included).
 OTHER = "*"
@@ -61,8 +61,9 @@ def _placed(docs: DataFrame, weights: dict[str, int], other: int, block_rows: in
     far = cycles.groupBy("_chunk").agg(F.sum("_n").alias("_n")).select("_chunk", before(Window.orderBy("_chunk")).alias("_far"))
     near = cycles.select("_cycle", "_chunk", before(Window.partitionBy("_chunk").orderBy("_cycle")).alias("_near")).join(far, "_chunk")
     starts = filled.select("_cycle", "slot", before(Window.partitionBy("_cycle").orderBy("slot")).alias("_before")).join(near, "_cycle")
-    starts = starts.select("slot", (F.col("_before") + F.col("_near") + F.col("_far")).alias("_start"))
-    rows = rows.join(starts, "slot").withColumn("position", F.col("_start") + F.col("_rank") % block_rows)
+    # written, as their number decides whether the rows have to be shuffled for them: 16 bytes for each block
+    starts = materialize(starts.select("slot", (F.col("_before") + F.col("_near") + F.col("_far")).alias("_start")), "slots")
+    rows = rows.join(maybe_broadcast(starts, starts.count()), "slot").withColumn("position", F.col("_start") + F.col("_rank") % block_rows)
     return rows.select("_row", "pool", *(F.col(c).cast("long").alias(c) for c in ADDED[1:]))
 
 
