@@ -18,7 +18,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeprint.llm.common import bounded, materialize
@@ -64,6 +64,10 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
+def path_hash(words: Column) -> Column:
+    return F.xxhash64(words)
+
+
 def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     """``bits`` bits (a power of two), those set on which a key of the column ``low`` falls."""
     at = F.col("low").bitwiseAND(F.lit(bits - 1))
@@ -75,7 +79,7 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 
 
 def _path_words(rows: DataFrame, window: int, shared: DataFrame, bitmap_keys: int) -> DataFrame:
-    """(low, _id, _th, pos, n, words): the paths of the minimizers in ``shared``, and perhaps others, with their words.
+    """(low, _id, _th, pos, n, words, h): the paths of the minimizers in ``shared``, and perhaps others, with their words and a hash of these.
 
     Up to ``bitmap_keys`` minimizers are sent to the workers as a bitmap; it lets some others through.
     Beyond that, paths and minimizers are joined by a shuffle, then texts and paths."""
@@ -102,7 +106,7 @@ def _path_words(rows: DataFrame, window: int, shared: DataFrame, bitmap_keys: in
                 who = pa.array(text)
                 yield pa.RecordBatch.from_arrays([signed(low), batch.column(0).take(who), batch.column(1).take(who), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(said, pa.binary())], names)
 
-        out = materialize(rows.mapInArrow(cut, f"{fields}, words binary"), "paths")
+        out = materialize(rows.mapInArrow(cut, f"{fields}, words binary").withColumn("h", path_hash(F.col("words"))), "paths")
         known.destroy()
         return out
 
@@ -124,7 +128,7 @@ def _path_words(rows: DataFrame, window: int, shared: DataFrame, bitmap_keys: in
     found = rows.mapInArrow(place, fields).join(shared, "low", "left_semi")
     spans = materialize(found.groupBy("_id", "_th").agg(F.collect_list(F.struct("low", "pos", "n")).alias("spans")), "asked")  # a text's own
     texts = rows.dropDuplicates(["_id", "_th"]).join(spans, ["_id", "_th"]).select("_id", "_th", "_text", "spans")
-    return materialize(texts.mapInArrow(say, f"{fields}, words binary"), "paths")
+    return materialize(texts.mapInArrow(say, f"{fields}, words binary").withColumn("h", path_hash(F.col("words"))), "paths")
 
 
 def _edge_spans(firsts: DataFrame, window: int, kind: str) -> DataFrame:
@@ -179,15 +183,18 @@ def repeated_spans(docs: DataFrame, window: int, id_col: str, text_col: str, bit
             yield pa.RecordBatch.from_arrays([signed(low), batch.column(0).take(pa.array(text))], ["low", "_id"])
 
     shared = rows.mapInArrow(lows, f"low long, _id {kind}").groupBy("low").agg(F.min("_id").alias("x"), F.max("_id").alias("y")).where("x < y").select("low")
-    found = _path_words(rows, window, materialize(shared, "minimizers"), bitmap_keys).withColumn("h", F.xxhash64("words"))
+    found = _path_words(rows, window, materialize(shared, "minimizers"), bitmap_keys)
 
     # written, as are the sides of the joins below, so that AQE can split a key that many rows share
     compact = materialize(found.groupBy("low", "h", "words").agg(F.min("_id").alias("source"), F.max("_id").alias("last")), "compact")
+    # paths are equal by their words; where no two of a minimizer share a hash, it says the same without sending the words again
+    clash = not compact.groupBy("low", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
+    key = ["low", "h", "words"] if clash else ["low", "h"]
     branching = compact.groupBy("low").agg(F.count(F.lit(1)).alias("k"), F.min("source").alias("x"), F.max("last").alias("y")).where("k > 1 AND x < y").select("low")
-    whole = found.join(compact.where("source < last"), ["low", "h", "words"]).where("source < _id").select("_id", "_th", "pos", "n")
-    unlike = compact.join(materialize(branching, "branching"), "low", "left_semi").select("low", "h", "words", F.col("source").alias("_id"))
-    firsts = found.join(materialize(unlike, "unlike"), ["low", "h", "words", "_id"]).select("_id", "_th", "pos", "n", "words")
-    firsts = materialize(firsts.dropDuplicates(["_id", "_th", "pos"]), "firsts")
+    placed = found.select(*key, "_id", "_th", "pos", "n")
+    whole = placed.join(compact.where("source < last").select(*key, "source"), key).where("source < _id").select("_id", "_th", "pos", "n")
+    unlike = materialize(compact.join(materialize(branching, "branching"), "low", "left_semi").select("low", "h", "words", F.col("source").alias("_id")), "unlike")
+    firsts = materialize(placed.join(unlike, [*key, "_id"]).select("_id", "_th", "pos", "n", "words").dropDuplicates(["_id", "_th", "pos"]), "firsts")
     spans = whole.unionByName(_edge_spans(firsts, window, kind))
     return materialize(spans.distinct().groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "spans")
 

@@ -140,8 +140,10 @@ def test_ngram_join(docs, empty, words, percent):
     assert ngram_join.near_duplicate_documents(empty).isEmpty()
 
 
-@pytest.mark.parametrize("bitmap_keys", [1 << 22, 0])
-def test_substring(docs, empty, bitmap_keys):
+@pytest.mark.parametrize(("bitmap_keys", "bits"), [(1 << 22, 64), (0, 64), (1 << 22, 1)])
+def test_substring(docs, empty, bitmap_keys, bits, monkeypatch):
+    """By the bitmap, by shuffles, and where paths of a minimizer share a hash."""
+    monkeypatch.setattr(substring, "path_hash", lambda words: F.xxhash64(words).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1)))
     texts = {r["doc_id"]: WORD.findall(r["text"] or "") for r in docs.collect()}
     first = {}
     for i in sorted(texts):
