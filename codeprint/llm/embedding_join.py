@@ -24,8 +24,9 @@ from codeprint.llm.graph import components
 #: Dimensions of a block; vectors at home in one tile, and partners that meet them there.
 BLOCK_DIMS, HOME_ROWS, PARTNER_ROWS = 16, 4096, 16384
 #: Pivots of a block grow with the root of the number of vectors, within these bounds.
-PIVOTS = (4, 512)
-_SLACK = 1e-9
+PIVOTS = (4, 2048)
+#: What rounding may add to a distance, in double and in single precision.
+_SLACK, _COARSE = 1e-9, 1e-5
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -54,35 +55,48 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T, 0)
 
 
-def cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home cell of each row, and (row, cell) of its visits: the later cells that its ball reaches."""
-    d, between = _squares(x, pivots), np.sqrt(_squares(pivots, pivots))
+def cells(x: np.ndarray, pivots: np.ndarray, between: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Home cell of each row, and (row, cell) of its visits: the later cells that its ball reaches.
+
+    ``between`` holds the distances between the pivots."""
+    d = _squares(x, pivots)
     home = d.argmin(axis=1)
     near = d - d[np.arange(len(x)), home][:, None] <= 2 * (radius + _SLACK) * between[home] + _SLACK
     near &= np.arange(len(pivots)) > home[:, None]
     return home, *np.nonzero(near)
 
 
+def _half_squares(x: np.ndarray) -> np.ndarray:
+    return (x * x).sum(axis=1, keepdims=True) / 2
+
+
 def tile_links(left: np.ndarray, right: np.ndarray | None, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the linked pairs that count in ``block``; without ``right``, pairs within ``left``."""
+    """Rows of the linked pairs that count in ``block``; without ``right``, pairs within ``left``.
+
+    One product in single precision, with room for its rounding, gives all distances in the block;
+    the pairs within the budget are then verified in double precision."""
     dim, budget = left.shape[1], 2 - 2 * threshold
     starts = block_starts(dim)
     sizes = np.diff(np.append(starts, dim))
     cut = slice(starts[block], starts[block] + sizes[block])
     other = left if right is None else right
+    limit = np.float32(-(budget * sizes[block] / dim * (1 + 1e-6) + _COARSE) / 2)
+    x, y = left[:, cut], other[:, cut]
+    x = np.hstack([x, -_half_squares(x), np.ones((len(x), 1))]).astype(np.float32)
+    y = np.hstack([y, np.ones((len(y), 1)), -_half_squares(y)]).astype(np.float32).T.copy()
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(left), 256):
-        i, j = np.nonzero(_squares(left[a : a + 256, cut], other[:, cut]) <= budget * sizes[block] / dim * (1 + 1e-6) + _SLACK)
+        i, j = np.divmod(np.flatnonzero(x[a : a + 256] @ y >= limit), len(other))  # minus half the squared distance
         i = i + a
         if right is None:
             i, j = i[i < j], j[i < j]
         for s in range(0, len(i), 50_000):
-            x, y = left[i[s : s + 50_000]], other[j[s : s + 50_000]]
-            gap = x - y
+            p, q = left[i[s : s + 50_000]], other[j[s : s + 50_000]]
+            gap = p - q
             share = np.add.reduceat(gap * gap, starts, axis=1) / sizes
-            ok = ((x * y).sum(axis=1) >= threshold) & (share.argmin(axis=1) == block)
+            ok = ((p * q).sum(axis=1) >= threshold) & (share.argmin(axis=1) == block)
             found.append((i[s : s + 50_000][ok], j[s : s + 50_000][ok]))
-    return tuple(np.concatenate(c) if c else np.empty(0, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
 
 
 def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -101,7 +115,7 @@ def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept of each row.
 
-    All rows are compared; those whose vector is null, empty, zero, or holds a null or non-finite
+    Ids are whole numbers, or texts of such.  All rows are compared; those whose vector is null, empty, zero, or holds a null or non-finite
     component, and those with a null id, link with nothing.  Vectors of different lengths don't link.
     Equal vectors are one node with a count; rows that repeat an id count each and share a component.
     Pairs are never emitted: a tile returns each vector's number of links and one edge to the
@@ -121,14 +135,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_col:
     budget = 2 - 2 * threshold
 
     def assign(batches):  # noqa: ANN001, ANN202
+        between = {dim: [np.sqrt(_squares(p, p)) for p in parts] for dim, parts in pivots.items()}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 own = pa.array(np.flatnonzero(dims == dim))
                 part = batch.take(own)
                 x = np.split(rotated(part.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)), block_starts(dim)[1:], axis=1)
-                for b, (sub, piv) in enumerate(zip(x, pivots[dim], strict=True)):
-                    home, row, cell = cells(sub, piv, math.sqrt(budget * sub.shape[1] / dim))
+                for b, (sub, piv, apart) in enumerate(zip(x, pivots[dim], between[dim], strict=True)):
+                    home, row, cell = cells(sub, piv, apart, math.sqrt(budget * sub.shape[1] / dim))
                     who = pa.array(np.concatenate([np.arange(len(home)), row]))
                     n = len(who)
                     got = part.take(who)
