@@ -8,15 +8,18 @@ what words share as a prefix is encoded once.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from codeprint.llm.common import bounded
 
@@ -25,11 +28,13 @@ END = "\0"  # stands for the end-of-word mark behind a word's last symbol; the b
 SUFFIX = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes of the words and of the states that a codec keeps, roughly; of one state; of a word besides its characters.
-CACHE_BYTES, KEPT_STATES, STATE_BYTES, WORD_BYTES = 20 << 20, 28 << 20, 180, 220
+CACHE_BYTES, KEPT_STATES, STATE_BYTES, WORD_BYTES = 20 << 20, 28 << 20, 180, 150
+#: The share of a table's bytes from which on words that had come back must come back again.
+PROVEN = 0.75
 #: Words that are cut from texts before they are looked up together.
 CUT_WORDS = 100_000
 #: The first code point from which Unicode tables of different age may disagree.
-NEWER = "\u0860"
+NEWER = "\u07fd"
 
 
 def byte_alphabet() -> list[str]:
@@ -42,11 +47,42 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def newer(text: str) -> bool:
+    """Whether a text holds a character from NEWER on."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return max(text) >= NEWER
+    return False
+
+
+def ranges(chars: list[int]) -> str:
+    """These code points, in order, as ranges of a class of the re module."""
+    runs: list[list[int]] = []
+    for i in chars:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+
+def word_pattern(cut: Callable[[str], list]) -> re.Pattern:
+    """PATTERN for texts without newer characters, by the classes that the library's own cutter gives them.
+
+    No word that begins with a letter begins with an apostrophe, so letters may come first."""
+    of = {c: len(cut(f"a{chr(c)}a")) for c in range(ord(NEWER))}
+    letter, blank = ranges([c for c in of if of[c] == 1]), ranges([c for c in of if of[c] == 2])
+    digit = ranges([c for c in of if of[c] == 3 and len(cut(f"!{chr(c)}!")) == 3])
+    return re.compile(f"[{letter}]+|'(?:[stmd]|re|ve|ll)|[{digit}]|[^{blank}{letter}{digit}]+")
+
+
 class TrieBpe:
     """Encoder and decoder of a word BPE vocabulary.
 
-    ``limit`` bounds the bytes of the words kept between batches; beyond it, those that the texts at
-    hand don't use are forgotten.  Beyond KEPT_STATES all states are.  Both are then found anew."""
+    ``limit`` bounds the bytes of the words kept between batches; beyond it, those that no second
+    batch of texts has used are forgotten.  Beyond KEPT_STATES all states are.  Both are then found anew."""
 
     def __init__(self, path: str, limit: int = CACHE_BYTES, tables: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
@@ -57,23 +93,28 @@ class TrieBpe:
         self.follows: dict[str | None, dict[str, bool]] = {}
         self.words = {" " + a["content"]: str(a["id"]) for a in spec["added_tokens"]}
         self.fixed = dict(self.words)
-        self.pattern = regex.compile(PATTERN)
+        #: Words that one batch of texts alone has used so far.
+        self.once: set[str] = set()
+        self.symbols = np.array([ord(c) for c in self.bytes], "<u2")
+        self.symbols[32] = 32  # between words; no word holds a blank
         library = Tokenizer.from_file(path)
         self.library = (library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str)
-        self.cut = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.pattern = word_pattern(self.library[1])
+        self.model = None if tables else library.model
+        self.cut = re.compile("|".join(map(re.escape, special))) if special else None
         self.names = {str(i): t for t, i in model["vocab"].items()} | {str(a["id"]): a["content"] for a in spec["added_tokens"]}
         if not tables:  # the rest is the trie's
             return
         inner = lambda t: t.removesuffix(SUFFIX) + END if t.endswith(SUFFIX) else t
-        self.ids = {inner(t): i for t, i in model["vocab"].items()}
+        self.ids = {inner(t): i for i, t in self.names.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(inner(a), inner(b)): r for r, (a, b) in enumerate(pairs)}
         tails: dict[str, set[int]] = {}
         for t in self.ids:
             if len(t) > 2:
                 tails.setdefault(t[-3:], set()).add(len(t))
-        #: The lengths, longest first, of the tokens of three or more symbols that end in these three.
-        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
+        #: The lengths, longest first, that a token may have that ends in these three symbols.
+        self.tails = {k: (*sorted(v, reverse=True), 2, 1) for k, v in tails.items()}
         #: The merge that makes a token first: its rank and its two parts.
         self.made: dict[str, tuple[int, tuple[str, str]]] = {}
         for pair, r in self.merges.items():
@@ -118,15 +159,15 @@ class TrieBpe:
 
         The sorted words are the trie's leaves in depth-first order: a word keeps the states of the
         prefix that it shares with the one before, and only its own nodes are computed."""
+        ids, tails, table = self.ids, self.tails, self.follows
         last: list[str | None] = [None]  # of each prefix on the path; index: its length
+        after = [table.setdefault(None, {})]  # what is known of the tokens behind it
         before = ""
-        ids, tails, table, may_follow = self.ids, self.tails, self.follows, self.may_follow
 
-        def state(path: str, end: int, least: int) -> str:
-            for k in (*tails.get(path[max(end - 3, 0) : end], ()), 2, 1):
-                if least <= k <= end and (token := path[end - k : end]) in ids:
-                    prev = last[end - k]
-                    if (ok := table[prev].get(token) if prev in table else None) or ok is None and may_follow(prev, token):
+        def state(path: str, end: int) -> str:
+            for k in tails.get(path[max(end - 3, 0) : end], (2, 1)):
+                if k <= end and (token := path[end - k : end]) in ids:
+                    if (ok := after[end - k].get(token)) or ok is None and self.may_follow(last[end - k], token):
                         return token
             raise ValueError(f"no encoding of {path!r}")
 
@@ -134,17 +175,23 @@ class TrieBpe:
             same, top = 0, min(len(word) - 1, len(last) - 1)
             while same < top and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :]
+            del last[same + 1 :], after[same + 1 :]
             for end in range(same + 1, len(word)):
-                last.append(state(word, end, 1))
+                for k in tails.get(word[max(end - 3, 0) : end], (2, 1)):  # as in state(), without the call
+                    if k <= end and (token := word[end - k : end]) in ids and (ok := after[end - k].get(token)) is not False and (ok or self.may_follow(last[end - k], token)):
+                        break
+                else:
+                    raise ValueError(f"no encoding of {word!r}")
+                last.append(token)
+                after.append(table.get(token) or table.setdefault(token, {}))
             leaf = word + END
-            token = state(leaf, len(leaf), 2)
+            token = state(leaf, len(leaf))
             out, at = [token], len(leaf) - len(token)
             while at:
                 out.append(last[at])
                 at -= len(last[at])
             out.reverse()
-            yield word, " ".join([str(ids[t]) for t in out])
+            yield word, " ".join([ids[t] for t in out])
             before = word
 
     def pieces(self, text: str) -> list[str]:
@@ -161,25 +208,35 @@ class TrieBpe:
         """The words of a text without special tokens.
 
         Texts with characters whose class depends on the age of Unicode tables are cut by the library."""
-        if not text.isascii() and max(text) >= NEWER:
+        lowered = normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
+        if newer(text) or newer(lowered):  # older characters may compose a newer one
             back = {c: bytes([i]) for i, c in enumerate(self.bytes)}
             cut = self.library[1](self.library[0](text))
             return [b"".join([back[c] for c in w]).decode("utf-8", "surrogateescape") for w, _ in cut]
-        return self.pattern.findall(normalize("NFC", text).replace("Σ", "σ").lower())  # each character by itself: no final sigma
+        return self.pattern.findall(lowered)
+
+    def forget(self) -> None:
+        """Keep the words that have come back; where they fill most of the table, they must come back again to stay."""
+        self.words = {w: ids for w, ids in self.words.items() if w not in self.once}
+        self.held = sum(map(len, self.words)) + sum(map(len, self.words.values())) + WORD_BYTES * len(self.words)
+        self.once = self.words.keys() - self.fixed.keys() if self.held > PROVEN * self.limit else set()
 
     def learn(self, words: set[str]) -> None:
         """Make the encodings of these words known."""
+        self.once -= words
         if self.held > self.limit:
-            self.words = self.fixed | {w: self.words[w] for w in words if w in self.words}
-            self.held = sum(len(w) + len(ids) + WORD_BYTES for w, ids in self.words.items())
+            self.forget()
         if self.states > KEPT_STATES:
             self.follows, self.states = {}, 0
-        new = [w for w in words if w not in self.words]
-        b = self.bytes
-        mapped = {w if w.isascii() and w.isprintable() else "".join([b[x] for x in w.encode("utf-8", "surrogateescape")]): w for w in new}
-        for word, ids in self.encode_words(list(mapped)):
-            self.words[mapped[word]] = ids
-            self.held += len(word) + len(ids) + WORD_BYTES
+        if new := words.difference(self.words):
+            text = " ".join(new).encode("utf-8", "surrogateescape")
+            mapped = self.symbols[np.frombuffer(text, np.uint8)].tobytes().decode("utf-16-le").split(" ")
+            back = dict(zip(mapped, new, strict=True))
+            for word, ids in self.encode_words(mapped):
+                self.words[back[word]] = ids
+                self.held += len(ids)
+            self.held += len(text) + WORD_BYTES * len(new)
+            self.once |= new
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """For each text: its ids as decimals and its decoded tokens, joined by blanks, and the count."""
@@ -190,16 +247,20 @@ class TrieBpe:
 
     def id_strings(self, texts: list[str | None]) -> Iterator[str]:
         """For each text its ids as decimals, joined by blanks."""
+        return map(" ".join, self.by_word(texts))
+
+    def by_word(self, texts: list[str | None]) -> Iterator[list]:
+        """For each text the encodings of its words."""
         cut: list[list[str]] = []
         size = 0
         for i, text in enumerate(texts):
             cut.append(self.pieces(text) if text else [])
             size += len(cut[-1])
             if size > CUT_WORDS or i == len(texts) - 1:
-                self.learn({w for words in cut for w in words})
+                self.learn(set().union(*cut))
                 known = self.words
                 for words in cut:
-                    yield " ".join([known[w] for w in words])
+                    yield [known[w] for w in words]
                 size, cut = 0, []
 
     def encode(self, text: str | None) -> list[int]:
@@ -211,15 +272,34 @@ class TrieBpe:
 
 
 class LibraryBpe(TrieBpe):
-    """The same words and ids; the tokenizers library's model encodes each new word by itself."""
+    """The same words and ids, as bytes of four an id; the tokenizers library's model encodes the new words.
 
-    def __init__(self, path: str, limit: int = CACHE_BYTES) -> None:
+    As it keeps no states, words have their room too."""
+
+    def __init__(self, path: str, limit: int = CACHE_BYTES + KEPT_STATES) -> None:
         super().__init__(path, limit, tables=False)
-        self.model = Tokenizer.from_file(path).model
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+        self.model = Tokenizer(self.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.fixed = {w: np.array([int(i)], "<i4").tobytes() for w, i in self.fixed.items()}
+        self.words = dict(self.fixed)
+        #: Whether a token ends a word.
+        self.last = np.array([self.names.get(str(i), "").endswith(SUFFIX) for i in range(1 + max(map(int, self.names)))])
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<i4")
+        flat, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        for word, a, b in zip(words, [0, *ends], ends, strict=False):
+            yield word, flat[a:b]
+
+    def id_arrays(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """For each text its ids."""
+        for ids in self.by_word(texts):
+            yield np.frombuffer(b"".join(ids), "<i4")
 
-    def encode_words(self, words: list[str]) -> Iterator[tuple[str, str]]:
-        for word in words:
-            yield word, " ".join([str(t.id) for t in self.model.tokenize(word)])
+    def id_strings(self, texts: list[str | None]) -> Iterator[str]:
+        for ids in self.id_arrays(texts):
+            yield " ".join(map(str, ids.tolist()))
 
 
 _known: dict[tuple[type, str], TrieBpe] = {}

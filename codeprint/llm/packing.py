@@ -97,12 +97,12 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = codec(path, LibraryBpe)
-        end = int(tokenizer.fixed[" <|endoftext|>"])
+        [end] = tokenizer.id_arrays(["<|endoftext|>"])
         held: list[tuple[object, np.ndarray]] = []
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(packed_rows(held, length, end if pad is None else pad))
+            rows = list(packed_rows(held, length, int(end[0]) if pad is None else pad))
             for at in range(0, len(rows), 256):
                 part = rows[at : at + 256]
                 matrix = lambda k: pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * length), pa.array(np.concatenate([r[k] for r in part])))  # noqa: B023, E731
@@ -112,8 +112,8 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | No
         id_type = None
         for batch in bounded(batches, 1):
             id_type = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.id_strings(batch.column(1).to_pylist()), strict=True):
-                held.append((doc, np.fromstring(f"{ids} {end}", dtype=np.int32, sep=" ")))
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.id_arrays(batch.column(1).to_pylist()), strict=True):
+                held.append((doc, np.concatenate((ids, end))))
                 n += len(held[-1][1])
                 if n > pack_tokens:
                     yield from flush()

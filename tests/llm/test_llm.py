@@ -423,3 +423,32 @@ def test_library_words_have_the_trie_ids():
     texts = ["it's a <|endoftext|> test", "ÉCOLE Σας 日本 x12!?", "", None, "unbelievably " * 3]
     path = vocabulary()
     assert list(bpe.LibraryBpe(path).id_strings(texts)) == list(bpe.TrieBpe(path).id_strings(texts))
+
+
+def test_words_are_cut_like_the_library_whatever_the_age_of_unicode_tables():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(vocabulary()), random.Random(9)
+    chars = [*map(chr, range(0x900)), *"aeinrst '.!"] + [*"\u1e01\u3000\u1e9e\u0323\u0325\u058b"] * 40 + ["<|endoftext|>"] * 20
+    texts = ["s\u058c", "\u073b\u058b", "c\u0323s\u058c", "\u07fd\u081b", "'tis ''s !'t 'LL", *("".join(rng.choices(chars, k=30)) for _ in range(2000))]
+    want = [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+    for kind in (bpe.TrieBpe, bpe.LibraryBpe):
+        assert list(kind(vocabulary()).id_strings(texts)) == want
+
+
+@pytest.mark.parametrize("kind", [bpe.TrieBpe, bpe.LibraryBpe])
+def test_words_that_come_back_are_encoded_once(kind, monkeypatch):
+    """Ever new words between them must not drive words in use out of a full table, nor let it grow."""
+    codec, asked = kind(vocabulary(), limit=200_000), Counter()
+    plain = codec.encode_words
+
+    def counted(words):
+        asked.update(words)
+        return plain(words)
+
+    monkeypatch.setattr(codec, "encode_words", counted)
+    letters = "abcdefghij"
+    for i in range(120):
+        fresh = ["".join(letters[int(d)] for d in str(1000 * i + k)) + "x" for k in range(300)]
+        list(codec.id_strings([" ".join([*fresh, "often"] if i % 2 else [*fresh, "seldom"])]))
+    assert asked["often"] <= 2 and asked["seldom"] <= 2 and len(codec.words) < 2500
