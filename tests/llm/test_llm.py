@@ -452,3 +452,14 @@ def test_words_that_come_back_are_encoded_once(kind, monkeypatch):
         fresh = ["".join(letters[int(d)] for d in str(1000 * i + k)) + "x" for k in range(300)]
         list(codec.id_strings([" ".join([*fresh, "often"] if i % 2 else [*fresh, "seldom"])]))
     assert asked["often"] <= 2 and asked["seldom"] <= 2 and len(codec.words) < 2500
+
+
+def test_digests_follow_the_library_where_unicode_tables_differ(spark):
+    from tokenizers import Tokenizer
+
+    texts, library = ["s\u058c", "\u073b\u058b a", "\u07fd\u081b", "plain"], Tokenizer.from_file(vocabulary())
+    got = {r["doc_id"]: r for r in bpe.digest_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary()).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
