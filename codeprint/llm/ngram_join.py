@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codeprint.llm.common import bounded, materialize, repeats_ids
 from codeprint.llm.graph import components
 from codeprint.llm.hashing import MULTIPLIERS, mix, ngrams, signed, word_hashes
+from codeprint.scratch import discard
 
 #: Counters of the frequency sketch, how many of them one row of its partial sums holds, and the
 #: tasks whose sums are added first.
@@ -126,7 +127,8 @@ def _may_link(percent: int) -> Column:
 
 
 def _close(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes left by the wide bitmaps, whose distance is a lower bound of the symmetric difference.
+    """The pairs (a, b) of nodes left by the wide bitmaps, whose distance is a lower bound of the symmetric difference;
+    written, in place of ``pairs``.
 
     Bitmaps that differ in length by a factor of two are compared after the longer is folded; those
     that differ by more (possible below 50 percent) decide nothing."""
@@ -139,14 +141,17 @@ def _close(pairs: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     apart = F.aggregate(F.zip_with(folded("a_w", "b_w"), folded("b_w", "a_w"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, k: s + k)
     comparable = F.greatest(F.size("a_w"), F.size("b_w")) <= 2 * F.least(F.size("a_w"), F.size("b_w"))
     near = ~comparable | (apart * F.lit(100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent))
-    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
+    out = materialize(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"), "pairs")
+    discard(wide, pairs)
+    return out
 
 
 def _linked(pairs: DataFrame, every: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets link; the shingles themselves are compared, not their hashes."""
-    pairs = materialize(_close(materialize(pairs, "tried"), every, percent), "pairs")
+    pairs = _close(materialize(pairs, "tried"), every, percent)
     nodes = pairs.select(F.col("a._id").alias("_id")).unionByName(pairs.select(F.col("b._id").alias("_id"))).distinct()
-    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(materialize(nodes, "asked"), "_id", "left_semi")
+    nodes = materialize(nodes, "asked")
+    asked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(nodes, "_id", "left_semi")
     kind = asked.schema["_id"].dataType.simpleString()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +176,9 @@ def _linked(pairs: DataFrame, every: DataFrame, docs: DataFrame, words: int, per
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     node = f"struct<_id:{kind},m:binary>"
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {node}, b {node}"), "links")
+    out = materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, f"a {node}, b {node}"), "links")
+    discard(pairs, nodes, texts)
+    return out
 
 
 def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,27 +214,37 @@ def near_duplicate_documents(docs: DataFrame, words: int = 5, percent: int = 80,
     step = float(-np.log(percent / 100)) * (1 + 1e-9) if percent < 100 else 1e-3
     member = nodes.select("node", "n", "ph", "parity", F.floor(F.log("n") / step).alias("size"))
     leading = nodes.groupBy("ph").agg(F.min("node").alias("group"), F.first("n").alias("n"))
-    sized = materialize(tokens.join(leading, "ph").select("shingle", "ph", "group", F.floor(F.log("n") / step / 2).alias("wide")), "sized")
+    sized = materialize(tokens.join(leading, "ph").select("shingle", "ph", "group", F.floor(F.log("n") / step).alias("size"), F.floor(F.log("n") / step / 2).alias("wide")), "sized")
+    discard(tokens)
     leaders = materialize(sized.groupBy("shingle", "wide").agg(F.min("group").alias("leader")), "leaders")
-    tried = materialize(sized.join(leaders, ["shingle", "wide"]).select("ph", "leader").distinct(), "leading")
+    first = materialize(sized.join(leaders, ["shingle", "wide"]).select("ph", "leader").distinct(), "leading")
+    discard(leaders)
     side = lambda p: [F.col("node").alias(p), F.col("n").alias(f"{p}_n"), F.col("parity").alias(f"{p}_parity")]
-    tried = tried.join(member.select("ph", *side("a")), "ph").join(nodes.select(*side("b")), F.col("leader") == F.col("b"))
+    tried = first.join(member.select("ph", *side("a")), "ph").join(nodes.select(*side("b")), F.col("leader") == F.col("b"))
     tried = tried.where("a <> b").where(_may_link(percent)).select("a", "b").distinct()
     links = _linked(tried.unionByName(reordered).distinct(), every, docs, words, percent, id_col, text_col)
     edges = links.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).unionByName(same)
     part = materialize(components(edges), "components")
+    discard(first, links, orders)
 
     own = part.select(F.col("node").alias("_node"), F.col("component").alias("c"))
     known = materialize(member.join(own, F.col("node._id") == F.col("_node"), "left").select("node", "n", "ph", "parity", "size", F.coalesce("c", "node._id").alias("c")), "known")
-    spread = tokens.join(known.select("ph", "node", "c"), "ph")
-    open_ = materialize(spread.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("shingle"), "open")
-    left = materialize(tokens.join(open_, "shingle", "left_semi").join(known, "ph").select("shingle", "size", "node", "n", "parity", "c"), "left")
-    a = left.select(F.col("shingle").alias("a_shingle"), F.col("size").alias("a_size"), *side("a"), F.col("c").alias("a_c"))
-    b = left.select(F.col("shingle").alias("b_shingle"), F.col("size").alias("_size"), F.explode(F.array("size", F.col("size") + 1)).alias("b_size"), *side("b"), F.col("c").alias("b_c"))
+    discard(nodes)
+    # a cell: the sets of one shingle of one size and of the size below; all of a ph are of one size
+    cells = sized.select("ph", "shingle", "size", F.explode(F.array("size", F.col("size") + 1)).alias("cell"))
+    reach = known.groupBy("ph").agg(F.min("c").alias("x"), F.max("c").alias("y"))
+    spread = cells.join(reach, "ph").groupBy("shingle", "cell").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("size").alias("size"))
+    open_ = materialize(spread.where("x < y AND size = cell").select("shingle", "cell"), "open")
+    left = cells.join(open_, ["shingle", "cell"], "left_semi").select("ph", "shingle", "cell").join(known, "ph")
+    left = materialize(left.select("shingle", "cell", "size", "node", "n", "parity", "c"), "left")
+    discard(sized, open_, known)
+    a = left.where("cell = size").select(F.col("shingle").alias("a_shingle"), F.col("size").alias("a_size"), *side("a"), F.col("c").alias("a_c"))
+    b = left.select(F.col("shingle").alias("b_shingle"), F.col("size").alias("_size"), F.col("cell").alias("b_size"), *side("b"), F.col("c").alias("b_c"))
     met = (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a_size") == F.col("b_size"))
     once = (F.col("_size") != F.col("a_size")) | (F.col("a") < F.col("b"))
     rest = a.join(b, met & once & (F.col("a_c") != F.col("b_c")) & _may_link(percent)).select("a", "b").distinct()
     more = _linked(rest, every, docs, words, percent, id_col, text_col)
+    discard(left)
     whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a._id", "b._id").toDF("a", "b")))
     out = every.select("_id", "n").join(whole.select(F.col("node").alias("_id"), "component"), "_id", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"))

@@ -463,3 +463,12 @@ def test_digests_follow_the_library_where_unicode_tables_differ(spark):
         ids = library.encode(text, add_special_tokens=False).ids
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_ngram_join_removes_what_it_wrote_on_its_way(docs):
+    from codeprint import scratch
+
+    before = set(scratch._written)
+    got = ngram_join.near_duplicate_documents(docs, words=3, percent=60)
+    left = Counter(path.rsplit("/", 1)[1].split("-")[1] for path in set(scratch._written) - before)
+    assert got.count() == docs.count() and set(left) <= {"sets", "components", "edges", "links"} and left["sets"] == left["components"] == 1
