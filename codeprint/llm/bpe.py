@@ -16,6 +16,7 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,6 +36,10 @@ PROVEN = 0.75
 CUT_WORDS = 100_000
 #: The first code point from which Unicode tables of different age may disagree.
 NEWER = "\u07fd"
+#: Bytes of a word that is merged in arrays at most; words that are worth arrays, and that are in them at once.
+LONGEST, FEW, MANY = 32, 200, 1 << 14
+#: The rank of a pair that does not merge.
+NONE = (1 << 26) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -68,16 +73,51 @@ def ranges(chars: list[int]) -> str:
     return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
 
 
-def word_pattern(cut: Callable[[str], list]) -> re.Pattern:
-    """PATTERN for texts without newer characters, by the classes that the library's own cutter gives them.
+#: Classes of characters, as in PATTERN.
+BLANK, LETTER, DIGIT, OTHER = range(4)
+
+
+def char_classes(cut: Callable[[str], list]) -> np.ndarray:
+    """The class of each character before NEWER, as the library's own cutter has it."""
+    of = np.array([len(cut(f"a{chr(c)}a")) for c in range(ord(NEWER))], np.uint8)
+    alone = [c for c in np.flatnonzero(of == 3).tolist() if len(cut(f"!{chr(c)}!")) == 3]
+    classes = np.choose(of, [OTHER, LETTER, BLANK, OTHER]).astype(np.uint8)
+    classes[alone] = DIGIT
+    return classes
+
+
+def word_pattern(classes: np.ndarray) -> re.Pattern:
+    """PATTERN for texts without newer characters, by these classes.
 
     No word that begins with a letter begins with an apostrophe, so letters may come first."""
-    of = {c: len(cut(f"a{chr(c)}a")) for c in range(ord(NEWER))}
-    letter, blank = ranges([c for c in of if of[c] == 1]), ranges([c for c in of if of[c] == 2])
-    digit = ranges([c for c in of if of[c] == 3 and len(cut(f"!{chr(c)}!")) == 3])
+    blank, letter, digit = (ranges(np.flatnonzero(classes == k).tolist()) for k in (BLANK, LETTER, DIGIT))
     return re.compile(f"[{letter}]+|'(?:[stmd]|re|ve|ll)|[{digit}]|[^{blank}{letter}{digit}]+")
 
 
+def word_starts(text: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the word pattern finds in a text without newer characters, given as UTF-8 that ends in three blanks.
+
+    For each byte: whether a word begins there, and whether it belongs to a word."""
+    of = classes[text & 127]
+    lead = np.flatnonzero(text >= 192)  # of two bytes, as all characters here beyond ASCII
+    of[lead] = of[lead + 1] = classes[(text[lead].astype(np.int32) & 31) << 6 | text[lead + 1] & 63]
+    starts = of == DIGIT
+    starts[0] = True
+    starts[1:] |= of[1:] != of[:-1]
+    starts[lead + 1] = False
+    inside = of != BLANK
+    starts &= inside
+    at = np.flatnonzero((text == ord("'")) & starts)
+    for ending in (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"):
+        found = at
+        for k, c in enumerate(ending, 1):
+            found = found[text[found + k] == c]
+        starts[found + 1] = False
+        behind = found + 1 + len(ending)
+        starts[behind[of[behind] == LETTER]] = True
+    return starts, inside
+
+
 class TrieBpe:
     """Encoder and decoder of a word BPE vocabulary.
 
@@ -99,15 +139,17 @@ class TrieBpe:
         self.symbols[32] = 32  # between words; no word holds a blank
         library = Tokenizer.from_file(path)
         self.library = (library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str)
-        self.pattern = word_pattern(self.library[1])
+        self.classes = char_classes(self.library[1])
+        self.pattern = word_pattern(self.classes)
         self.model = None if tables else library.model
         self.cut = re.compile("|".join(map(re.escape, special))) if special else None
         self.names = {str(i): t for t, i in model["vocab"].items()} | {str(a["id"]): a["content"] for a in spec["added_tokens"]}
-        if not tables:  # the rest is the trie's
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if not tables:
+            self.arrays = ArrayBpe(model["vocab"], pairs, self.bytes)
             return
         inner = lambda t: t.removesuffix(SUFFIX) + END if t.endswith(SUFFIX) else t
         self.ids = {inner(t): i for i, t in self.names.items()}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(inner(a), inner(b)): r for r, (a, b) in enumerate(pairs)}
         tails: dict[str, set[int]] = {}
         for t in self.ids:
@@ -204,12 +246,16 @@ class TrieBpe:
             return out + self.plain(text[at:])
         return self.plain(text)
 
+    def lowered(self, text: str) -> str | None:
+        """The normalised text; none if characters are in it whose class depends on the age of Unicode tables."""
+        lowered = normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
+        return None if newer(text) or newer(lowered) else lowered  # older characters may compose a newer one
+
     def plain(self, text: str) -> list[str]:
         """The words of a text without special tokens.
 
         Texts with characters whose class depends on the age of Unicode tables are cut by the library."""
-        lowered = normalize("NFC", text).replace("Σ", "σ").lower()  # each character by itself: no final sigma
-        if newer(text) or newer(lowered):  # older characters may compose a newer one
+        if (lowered := self.lowered(text)) is None:
             back = {c: bytes([i]) for i, c in enumerate(self.bytes)}
             cut = self.library[1](self.library[0](text))
             return [b"".join([back[c] for c in w]).decode("utf-8", "surrogateescape") for w, _ in cut]
@@ -224,19 +270,26 @@ class TrieBpe:
     def learn(self, words: set[str]) -> None:
         """Make the encodings of these words known."""
         self.once -= words
+        self.make_room()
+        if new := words.difference(self.words):
+            self.add(list(new))
+            self.once |= new
+
+    def make_room(self) -> None:
         if self.held > self.limit:
             self.forget()
         if self.states > KEPT_STATES:
             self.follows, self.states = {}, 0
-        if new := words.difference(self.words):
-            text = " ".join(new).encode("utf-8", "surrogateescape")
-            mapped = self.symbols[np.frombuffer(text, np.uint8)].tobytes().decode("utf-16-le").split(" ")
-            back = dict(zip(mapped, new, strict=True))
-            for word, ids in self.encode_words(mapped):
-                self.words[back[word]] = ids
-                self.held += len(ids)
-            self.held += len(text) + WORD_BYTES * len(new)
-            self.once |= new
+
+    def add(self, new: list[str]) -> None:
+        """Encode these distinct words."""
+        text = " ".join(new).encode("utf-8", "surrogateescape")
+        mapped = self.symbols[np.frombuffer(text, np.uint8)].tobytes().decode("utf-16-le").split(" ")
+        back = dict(zip(mapped, new, strict=True))
+        for word, ids in self.encode_words(mapped):
+            self.words[back[word]] = ids
+            self.held += len(ids)
+        self.held += len(text) + WORD_BYTES * len(new)
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, str, int]]:
         """For each text: its ids as decimals and its decoded tokens, joined by blanks, and the count."""
@@ -271,8 +324,75 @@ class TrieBpe:
         return " ".join(self.names[str(i)] for i in ids)
 
 
+class PairTable:
+    """The ranks of pairs of ids, found for arrays of them with one probe: keys of a bucket are moved together until all have slots of their own."""
+
+    EMPTY, FACTOR, STEP = np.uint64(2**64 - 1), np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
+
+    def __init__(self, ranks: dict[tuple[int, int], int]) -> None:
+        pairs, values = np.array(list(ranks), np.uint64).reshape(-1, 2), np.array(list(ranks.values()), np.int32)
+        bits = max(len(ranks).bit_length(), 2)
+        self.bucket_shift, self.shift = np.uint64(65 - bits), np.uint64(63 - bits)
+        self.moves, n = np.zeros(1 << bits - 1, np.uint64), 1 << bits + 1
+        self.keys, self.values = np.full(n, self.EMPTY), np.full(n, NONE, np.int32)
+        keys = pairs[:, 0] << np.uint64(32) | pairs[:, 1]
+        mixed = keys * self.FACTOR
+        buckets, left, tries = mixed >> self.bucket_shift, np.arange(len(keys)), 0
+        while len(left):
+            tries += 1
+            move = np.uint64(tries * self.STEP % 2**64)
+            slots = ((mixed[left] ^ move) * self.FACTOR >> self.shift).astype(np.int64)
+            stuck = np.zeros(len(self.moves), bool)
+            stuck[buckets[left[(self.keys[slots] != self.EMPTY) | (np.bincount(slots, minlength=n)[slots] > 1)]]] = True
+            free = ~stuck[buckets[left]]
+            self.moves[buckets[left[free]]] = move
+            self.keys[slots[free]], self.values[slots[free]] = keys[left[free]], values[left[free]]
+            left = left[~free]
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        mixed = keys * self.FACTOR
+        slots = (mixed ^ self.moves[mixed >> self.bucket_shift]) * self.FACTOR >> self.shift
+        return np.where(self.keys[slots] == keys, self.values[slots], NONE)
+
+
+class ArrayBpe:
+    """Plain BPE of many words of one length at once: each round merges one pair in each, so that their lengths stay equal."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, alphabet: list[str]) -> None:
+        self.first, self.final = (np.array([vocab[c + end] for c in alphabet], np.int32) for end in ("", SUFFIX))
+        self.pairs = PairTable({(vocab[a], vocab[b]): r for r, (a, b) in enumerate(merges)})
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
+        both = np.broadcast_arrays(self.first[:, None], self.first), np.broadcast_arrays(self.first[:, None], self.final)
+        self.inner, self.outer = (self.pairs.of(*x) for x in both)
+
+    def merged(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of words (columns of bytes) and their ids (columns, too), those of fewest merges first."""
+        rest, ids = np.arange(words.shape[1]), self.first[words]
+        ids[-1] = self.final[words[-1]]
+        ranks = self.inner[words[:-1], words[1:]]
+        ranks[-1:] = self.outer[words[-2:-1], words[-1:]]
+        while len(ids) > 1:
+            row = np.arange(len(ranks), dtype=np.int32)[:, None]
+            best = (ranks << 5 | row).min(axis=0)  # the lowest rank, leftmost first
+            if not (going := best < NONE << 5).all():
+                yield rest[~going], ids[:, ~going]
+                rest, ids, ranks, best = rest[going], ids[:, going], ranks[:, going], best[going]
+            if not len(rest):
+                return
+            at, new = best & 31, self.made[best >> 5]
+            ids = np.where(row <= at, ids[:-1], ids[1:])
+            ids[at, np.arange(len(at))] = new
+            ranks = np.where(row[:-1] < at, ranks[:-1], ranks[1:])
+            a, b = np.flatnonzero(at > 0), np.flatnonzero(at < len(ids) - 1)
+            before, behind = at[a] - 1, at[b]
+            found = self.pairs.of(np.concatenate((ids[before, a], new[b])), np.concatenate((new[a], ids[behind + 1, b])))
+            ranks[before, a], ranks[behind, b] = found[: len(a)], found[len(a) :]
+        yield rest, ids
+
+
 class LibraryBpe(TrieBpe):
-    """The same words and ids, as bytes of four an id; the tokenizers library's model encodes the new words.
+    """The same words and ids, as bytes of four an id; new words are merged in arrays, long or few ones by the tokenizers library's model.
 
     As it keeps no states, words have their room too."""
 
@@ -287,15 +407,79 @@ class LibraryBpe(TrieBpe):
         self.last = np.array([self.names.get(str(i), "").endswith(SUFFIX) for i in range(1 + max(map(int, self.names)))])
 
     def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<i4")
+        """Distinct words, as they are cut, and their ids in the words' order."""
+        for k in range(0, len(words), MANY):
+            part = words[k : k + MANY]
+            yield from zip(part, self.by_arrays(part) if len(part) >= FEW else self.by_library(part), strict=True)
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        text = np.frombuffer(" ".join(words).encode("utf-8", "surrogateescape"), np.uint8)
+        mapped = self.symbols[text].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<i4")
         flat, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-        for word, a, b in zip(words, [0, *ends], ends, strict=False):
-            yield word, flat[a:b]
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def by_arrays(self, words: list[str]) -> list[bytes]:
+        text = np.frombuffer("\n".join([*words, ""]).encode("utf-8", "surrogateescape"), np.uint8)
+        ends = np.flatnonzero(text == ord("\n"))
+        sizes = np.diff(ends, prepend=-1) - 1
+        out = [b""] * len(words)
+        for size in np.unique(sizes[sizes <= LONGEST]).tolist():
+            which = np.flatnonzero(sizes == size)
+            for done, ids in self.arrays.merged(text[ends[which] - size + np.arange(size)[:, None]]):
+                flat, step = ids.T.astype("<i4").tobytes(), 4 * len(ids)
+                for i, a in zip(which[done].tolist(), range(0, len(flat), step), strict=True):
+                    out[i] = flat[a : a + step]
+        if len(long := np.flatnonzero(sizes > LONGEST).tolist()):
+            for i, ids in zip(long, self.by_library([words[i] for i in long]), strict=True):
+                out[i] = ids
+        return out
+
+    def add(self, new: list[str]) -> None:
+        ids = [x for _, x in self.encode_words(new)]
+        self.words.update(zip(new, ids, strict=True))
+        self.held += sum(map(len, ids)) + sum(map(len, new)) + WORD_BYTES * len(new)
+
+    def encodings(self, words: list[str]) -> list[bytes]:
+        """The encodings of distinct words, each looked up once; they become known."""
+        self.once.difference_update(words)
+        ids = list(map(self.words.get, words))
+        if new := [w for w, x in zip(words, ids, strict=True) if x is None]:
+            self.make_room()
+            self.add(new)
+            self.once.update(new)
+            ids = [x or self.words[w] for w, x in zip(words, ids, strict=True)]
+        return ids
 
     def id_arrays(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """For each text its ids."""
-        for ids in self.by_word(texts):
-            yield np.frombuffer(b"".join(ids), "<i4")
+        """For each text its ids.
+
+        Texts are cut and looked up together, each distinct word once.  Those with special tokens or
+        newer characters are cut by themselves."""
+        plain: list[bytes | None] = []
+        for text in texts:
+            lowered = None if text and self.cut and "<|" in text and self.cut.search(text) else self.lowered(text or "")
+            plain.append(None if lowered is None else lowered.encode())
+        alone = self.by_word([t for t, p in zip(texts, plain, strict=True) if p is None])
+        together = self.ids_of([p for p in plain if p is not None])
+        for p in plain:
+            yield np.frombuffer(b"".join(next(alone)), "<i4") if p is None else next(together)
+
+    def ids_of(self, plain: list[bytes]) -> Iterator[np.ndarray]:
+        """For each normalised text, in UTF-8 and without newer characters, its ids."""
+        text = np.frombuffer(b"\n".join([*plain, b"\n\n"]), np.uint8)
+        starts, inside = word_starts(text, self.classes)
+        at = np.flatnonzero(starts)
+        ends = np.append(np.cumsum(inside, dtype=np.int32)[at] - 1, np.int32(np.count_nonzero(inside)))
+        found = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(text[inside])).dictionary_encode()
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary), "\n")[0].as_py().split("\n") if len(at) else []
+        ids = self.encodings(words)
+        own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32) >> 2), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        every = own.take(found.indices)
+        flat, bounds = every.values.to_numpy(), every.offsets.to_numpy()
+        behind = bounds[np.searchsorted(at, np.cumsum([0, *(len(p) + 1 for p in plain)]))].tolist()
+        for a, b in zip(behind, behind[1:], strict=False):
+            yield flat[a:b]
 
     def id_strings(self, texts: list[str | None]) -> Iterator[str]:
         for ids in self.id_arrays(texts):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from codeprint.llm.bpe import LibraryBpe, codec
-from codeprint.llm.common import bounded
+from codeprint.llm.common import ARROW_BYTES, bounded
 
 #: Pieces that are packed together at most, so that a task's memory is bounded.
 PACK_TOKENS = 2_000_000
@@ -110,7 +110,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, pad: int | No
             held.clear()
 
         id_type = None
-        for batch in bounded(batches, 1):
+        for batch in bounded(batches, 1, ARROW_BYTES):
             id_type = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.id_arrays(batch.column(1).to_pylist()), strict=True):
                 held.append((doc, np.concatenate((ids, end))))

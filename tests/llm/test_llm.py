@@ -454,6 +454,53 @@ def test_words_that_come_back_are_encoded_once(kind, monkeypatch):
     assert asked["often"] <= 2 and asked["seldom"] <= 2 and len(codec.words) < 2500
 
 
+def test_a_batch_looks_up_each_word_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    codec = bpe.LibraryBpe(vocabulary())
+    codec.words = Counted(codec.words)
+    got = list(codec.id_strings(["it's a plain tést", None, "a"] * 500))
+    assert Counted.asked <= 5 and got == list(bpe.TrieBpe(vocabulary()).id_strings(["it's a plain tést", None, "a"])) * 500
+
+
+def test_words_begin_where_the_pattern_finds_them():
+    codec, rng = bpe.LibraryBpe(vocabulary()), random.Random(12)
+    texts = ["", "'", "'r", "'re", "a've", "'s's''ll", "'d1'mé", "!'s 's! 're're", "\0'\0a\0", *("".join(rng.choices("aelrstvmd'''1 !é\0\u00bd\xa0\n\u0301", k=25)) for _ in range(3000))]
+    for text in texts:
+        raw = np.frombuffer(text.encode() + b"\n\n\n", np.uint8)
+        starts, inside = bpe.word_starts(raw, codec.classes)
+        want = [(len(text[: m.start()].encode()), m[0].encode()) for m in codec.pattern.finditer(text)]
+        assert np.flatnonzero(starts).tolist() == [at for at, _ in want] and raw[inside].tobytes() == b"".join(w for _, w in want)
+
+
+def test_ids_of_mixed_batches_keep_their_order():
+    texts = ["a b", "x <|endoftext|> y", None, "日本 a", "", "it's", "<| no", "s\u058c", "a b", " \n"]
+    each = bpe.LibraryBpe(vocabulary())
+    for batch in (texts, texts[2:3], [], texts[1:2], texts[::-1]):
+        assert [x.tolist() for x in bpe.LibraryBpe(vocabulary()).id_arrays(batch)] == [next(each.id_arrays([t])).tolist() for t in batch]
+        assert [" ".join(map(str, x.tolist())) for x in each.id_arrays(batch)] == list(bpe.TrieBpe(vocabulary()).id_strings(batch))
+
+
+def test_words_merged_in_arrays_have_the_library_ids():
+    """Words of every length, of few and of many kinds of bytes, long ones too; each pair of the table is found, others are not."""
+    codec, rng = bpe.LibraryBpe(vocabulary()), random.Random(14)
+    kinds = ["ab", "aaab", "thein", "0123456789", "!?.", "\0'", "éßçñü", "abcdefghijklmnopqrstuvwxyz"]
+    words = sorted({"".join(rng.choices(rng.choice(kinds), k=rng.randrange(1, 45))) for _ in range(6000)} | {t.removesuffix("</w>") for t in codec.names.values() if t.isascii() and t.isprintable() and "<" not in t})
+    rng.shuffle(words)
+    alone = [x for w in words[:300] for x in codec.by_library([w])]
+    assert codec.by_arrays(words) == codec.by_library(words) and codec.by_arrays(words[:300]) == alone
+    assert [w for w, _ in codec.encode_words(words)] == words and codec.by_arrays(["a"]) == codec.by_library(["a"])
+    ranks = {(rng.randrange(500), rng.randrange(500)): r for r in range(3000)}
+    left, right = map(np.ravel, np.meshgrid(np.arange(500), np.arange(500)))
+    for known in (ranks, dict(list(ranks.items())[:1]), {}):
+        assert bpe.PairTable(known).of(left, right).tolist() == [known.get(x, bpe.NONE) for x in zip(left.tolist(), right.tolist(), strict=True)]
+
+
 def test_digests_follow_the_library_where_unicode_tables_differ(spark):
     from tokenizers import Tokenizer
 
