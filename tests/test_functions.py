@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import ast
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from codeprint.functions import paths, pycode, text
+from codeprint.operators.features import FEATURE_SETS
+from codeprint.plans import catalogue
 
 
 def column(spark, values, f):
@@ -68,3 +71,23 @@ def test_features():
 def test_group_mode():
     with pytest.raises(ValueError):
         text.group_id("other")
+
+
+def test_sources_are_parsed_once(monkeypatch):
+    """All settings and all facts of a source that reads without a warning cost one parse."""
+    calls, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda *a, **k: calls.append(a) or parse(*a, **k))
+    code = 'def f(value):\n    "doc"\n    return value  # note\n'
+    got = pycode.preprocess_each(FEATURE_SETS).func(pd.Series([code]))
+    assert len(calls) == 1 and got.iloc[0].tolist() == [pycode.preprocess(code, *s[1:]) for s in FEATURE_SETS]
+    calls.clear()
+    facts = pycode.code_features.func(pd.Series([code]))
+    assert len(calls) == 1 and facts.loc[0, ["status", "strict"]].tolist() == ["ok", True]
+    assert pycode.code_facts("status", "strict").func(pd.Series(["x = '\\d'", "def (", "import os", None])).values.tolist() == [["ok", False], ["syntax", False], ["no_meaningful", True], ["empty", False]]
+
+
+@pytest.mark.parametrize("name", ["validate_status", "ast_features", "token_features", "strip_comments", "strip_docstrings", "rename_identifiers", "preprocess_matrix"])
+def test_a_small_file_of_sources_is_parsed_on_all_cores(spark, name):
+    rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(rows.select(F.spark_partition_id()).distinct().collect()) > 4
+    assert str(rows._jdf.queryExecution().optimizedPlan()).count("ArrowEvalPython") == 1
