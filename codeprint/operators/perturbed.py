@@ -11,13 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from codeprint.functions.chargrams import slices
 from codeprint.functions.text import LOW_INFORMATION, OPERATOR_CHARACTERS
 
 #: Tokens that are worked on together, in whole documents.
 CHUNK = 1 << 15
-#: Characters whose trigrams are counted together.
-COUNTED = 1 << 19
+#: Trigrams that a task holds before it gives them on.
+HELD_TRIGRAMS = 1 << 20
 #: Scores that differ by less are equal: sums of the same numbers in another order.
 TIE = 1e-12
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -86,34 +88,82 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The code of each trigram inside a text, and the number of its text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(chars) < 3:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(np.arange(2, len(chars)) < np.repeat(np.cumsum(sizes), sizes)[:-2])
     return chars[at] | chars[at + 1] << 21 | chars[at + 2] << 42, np.repeat(np.arange(len(texts)), sizes)[at]
 
 
+def _spelled(codes: np.ndarray, n: np.ndarray) -> tuple[list[pa.Array], list[str]]:
+    """Columns context, next, uses of trigram codes."""
+    at = [[chr(c >> s & (1 << 21) - 1) for c in codes.tolist()] for s in (0, 21, 42)]
+    return [pa.array([a + b for a, b in zip(at[0], at[1], strict=True)], pa.string()), pa.array(at[2], pa.string()), pa.array(n)], ["context", "next", "uses"]
+
+
 def counted_trigrams(rows: DataFrame, text: str) -> DataFrame:
-    """(context, next, uses) of all texts, two marks before each; an Arrow batch gives a trigram once, so texts are never exploded."""
+    """(context, next, uses) of all texts, two marks before each; a task gives a trigram once while it holds few, so texts are never exploded."""
 
     def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
         return codes, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, held, size = [(np.empty(0, np.int64), np.empty(0, np.int64))], [], 0
-            for i, t in enumerate(texts := batch.column(0).to_pylist()):
-                if t:
-                    held.append("\x02\x02" + t)
-                    size += len(t)
-                if held and (size >= COUNTED or i == len(texts) - 1):
-                    found = [merged([*found, np.unique(_grams(held)[0], return_counts=True)])]
+        held, size = [], 0
+        for batch in slices(batches, 0):
+            codes = _grams(["\x02\x02" + t for t in batch.column(0).to_pylist() if t])[0]
+            codes.sort()
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), codes[1:] != codes[:-1])))
+            held.append((codes[first], np.diff(np.append(first, len(codes)))))
+            size += len(first)
+            if size > HELD_TRIGRAMS:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > HELD_TRIGRAMS // 2:
+                    yield pa.RecordBatch.from_arrays(*_spelled(*held[0]))
                     held, size = [], 0
-            codes, n = found[0]
-            at = [[chr(c >> s & (1 << 21) - 1) for c in codes.tolist()] for s in (0, 21, 42)]
-            yield pa.RecordBatch.from_arrays([pa.array([a + b for a, b in zip(at[0], at[1], strict=True)], pa.string()), pa.array(at[2], pa.string()), pa.array(n)], ["context", "next", "uses"])
+        if size:
+            yield pa.RecordBatch.from_arrays(*_spelled(*merged(held)))
 
     return rows.select(text).mapInArrow(run, "context string, next string, uses long")
 
 
+def trigrams_of_lines(lines: DataFrame, line: str) -> DataFrame:
+    """(the other columns, context, next, uses) of each line that is not blank: its trigrams, counted, in bounded slices."""
+    keys = [c for c in lines.columns if c != line]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            codes, of = _grams([_padded(t) for t in batch.column(0).to_pylist()])
+            order = np.lexsort((codes, of))
+            codes, of = codes[order], of[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), (codes[1:] != codes[:-1]) | (of[1:] != of[:-1]))))
+            columns, names = _spelled(codes[first], np.diff(np.append(first, len(codes))))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of[first])) for c in batch.columns[1:]), *columns], [*keys, *names])
+
+    return lines.select(line, *keys).mapInArrow(run, T.StructType([*lines.select(*keys).schema.fields, *(T.StructField(n, k) for n, k in (("context", T.StringType()), ("next", T.StringType()), ("uses", T.LongType())))]))
+
+
+def _padded(line: str | None) -> str:
+    """The line as it is scored: a blank one has no trigram."""
+    return "\x02\x02" + line if line and not line.isspace() else ""
+
+
+def line_losses(lines: DataFrame, table: TrigramTable, line: str) -> DataFrame:
+    """``lines`` with ``loss``, where they are: perplexity of each line, 0 for a blank one.  Nothing is shuffled."""
+    shared = lines.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            codes, of = _grams([_padded(t) for t in batch.column(at).to_pylist()])
+            n = np.bincount(of, minlength=len(batch))
+            total = np.bincount(of, weights=shared.value(codes), minlength=len(batch))
+            loss = np.where(n > 0, np.exp(-total / np.maximum(n, 1)), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(loss)], [*batch.schema.names, "loss"])
+
+    at = lines.columns.index(line)
+    return lines.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("loss", T.DoubleType())]))
+
+
 def _forms(tokens: list[str], codes: np.ndarray, table: TrigramTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each code, 4 * token + 2 * (opens the line) + (ends it): log probability inside, characters, and the code of the first and the last one (-1: none)."""
     texts = [(" ", " ", "\x02\x02", "\x02\x02")[c & 3] + tokens[c >> 2] + (" ", "", " ", "")[c & 3] for c in codes.tolist()]
@@ -193,9 +243,12 @@ def _shares(lines: list[list[list[str]]], seeds: np.ndarray, table: TrigramTable
 def probabilities(rows: DataFrame, table: TrigramTable, words: list[str], cumulative: list[float], text: str, key: str, copies: int, rate: float, seed: int, mask: str = "<mask>") -> DataFrame:
     """(key, probability): the share of ``copies`` that score above the original; 0 for null.  Draws are those of scoring.uniform."""
 
+    shared = rows.sparkSession.sparkContext.broadcast((table, words or [""], np.array(cumulative or [1.0])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fills, ends = _forms(words or [""], np.arange(4 * max(len(words), 1)), table), np.array(cumulative or [1.0])
-        for batch in batches:
+        table, words, ends = shared.value
+        fills = _forms(words, np.arange(4 * len(words)), table)
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             seeds = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]).astype(np.int64).view(np.uint64)
             out, held, taken, size = np.zeros(len(texts)), [], [], 0

@@ -6,10 +6,11 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeprint.operators import scoring
+from codeprint.operators import perturbed, scoring
 from codeprint.plans import catalogue
 
 TEXTS = ["def f(x):\n    return x + 1\n", "a b c d e f g h", "the cat sat on the mat\r\nthe dog ran  off\n\n", "", None, "x", "  = ( )\n### ::", "un café brûlé\tpour la fête 😀 et la mer\nla mer la mer", "the the the the\nthe the the the", "\n", " ", "<mask> of the mat"]
@@ -108,3 +109,35 @@ def test_nucleus_has_no_row_limit(spark, words):
             kept.append((w, n))
     total = sum(n for _, n in kept)
     assert {r["token"]: round(r["share"], 9) for r in got} == {w: round(n / total, 9) for w, n in kept}
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_scored_where_they_are(spark):
+    """A model that is sent needs no shuffle; a larger one gives the same losses."""
+    rows = [(None if i == 9 else i, j, line) for i, t in enumerate(TEXTS) for j, line in enumerate((t or "").splitlines() or [None])]
+    lines = spark.createDataFrame(rows, "id long, line_no int, line string")
+    scorer = scoring.TrigramScorer(spark.createDataFrame([(t,) for t in TEXTS[:6]], "text string"))
+    sent, joined = scorer.line_losses(lines), scorer.line_losses(lines, sent=0)
+    assert "Exchange" not in _plan(sent) and sent.columns == ["id", "line_no", "line", "loss"]
+    got, want = ({(r["id"], r["line_no"]): round(r["loss"], 9) for r in x.collect()} for x in (sent, joined))
+    assert got.keys() == want.keys() and {k: v for k, v in got.items() if k[0] is not None} == {k: v for k, v in want.items() if k[0] is not None} and max(got.values()) > 0
+
+
+def test_trigrams_of_long_texts_come_in_slices(spark):
+    """One Arrow batch of 8 MB is counted 512 KB at a time, so that no worker holds the trigrams of all its texts."""
+    lines = spark.createDataFrame([(i, f"{i} ab " * 50_000) for i in range(40)], "id int, line string").coalesce(1)
+    held = perturbed.trigrams_of_lines(lines, "line").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"texts": [len(b.column(0).unique())]}) for b in batches), "texts long")
+    counts = perturbed.trigrams_of_lines(lines, "line").groupBy("id").agg(F.sum("uses").alias("n"))
+    assert held.agg(F.sum("texts")).first()[0] == 40 and {r["n"] for r in counts.collect()} == {len(f"{i} ab ") * 50_000 for i in range(40)}
+
+
+def test_entropy_needs_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b a "), (2, ""), (3, None), (4, "x x")], "id int, text string")
+    rows = scoring.text_entropy(docs, "id", "text")
+    words = docs.select("id", F.explode(F.split("text", " ")).alias("w"))
+    want = {r["id"]: r["entropy"] for r in scoring.token_entropy(words, "id", "w").collect()}
+    assert {r["id"]: r["entropy"] for r in rows.collect()} == pytest.approx(want) and "Exchange" not in _plan(rows)
+    assert "Exchange" not in _plan(catalogue.QUERIES["token_entropy"](spark, "/root/testdata/sf0.001"))
