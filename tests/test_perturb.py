@@ -141,3 +141,13 @@ def test_entropy_needs_no_shuffle(spark):
     want = {r["id"]: r["entropy"] for r in scoring.token_entropy(words, "id", "w").collect()}
     assert {r["id"]: r["entropy"] for r in rows.collect()} == pytest.approx(want) and "Exchange" not in _plan(rows)
     assert "Exchange" not in _plan(catalogue.QUERIES["token_entropy"](spark, "/root/testdata/sf0.001"))
+
+
+def test_the_model_is_sent_by_broadcast(spark, monkeypatch):
+    """Pickled into the function, each task would unpack a model of its own."""
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    likely = spark.createDataFrame([("mat", 1.0)], "token string, share double")
+    scoring.detect(docs, scoring.TrigramScorer(docs), likely)
+    assert any(isinstance(x, tuple) and isinstance(x[0], perturbed.TrigramTable) for x in sent)
